@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_records, shared, token_cache
+from . import binary_records, decontaminate, kd_shards, secrets, shared, token_cache, va_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,44 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents through a cache that starts empty."""
-    docs = _table(spark, sf_dir, "documents")
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", n_bytes)
     counted = token_cache.with_token_counts(docs, shared.fresh_path(spark, "token-cache"))
-    return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in windows of benchmark items."""
+    found = decontaminate.find_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), decontaminate.digest(F.col("items")).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    docs = _table(spark, sf_dir, "documents")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    out = kd_shards.shard(docs.select("doc_id", "text", "source", "lang", crc))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def repository() -> tuple:
+    """What stands for repository and owner of a document: its source and language, and its source."""
+    return F.concat_ws("/", "source", "lang"), F.col("source")
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents, judged by their owners over all documents."""
+    found = secrets.scan(_table(spark, sf_dir, "documents"), *repository(), keep=("doc_id",))
+    n = lambda kind: F.size(F.filter("spans_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    n_live = F.size(F.filter("live", lambda x: x)).cast("long").alias("n_live")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined(F.col("spans_base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), n_live)
+
+
+def op9_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors by inner product of every 50th vector, among all."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return va_search.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
 def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +67,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Where SQL can express a query's rows.
+ORACLES = {
+    "op9_va_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: bounds what a Python worker holds of whole texts.
-ARROW_ROWS = 1000
+ARROW_ROWS = 2000
+#: Bytes of one, unless a single row has more.
+ARROW_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def arrow_batches(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of very long texts stays in bounds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def free_name(taken: Sequence[str], name: str) -> str:

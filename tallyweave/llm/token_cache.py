@@ -65,6 +65,7 @@ def with_token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str | No
     count_misses(misses, tokenizer_path, version).write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).filter(F.col("tokenizer_digest") == version)
     counts = counts.groupBy("content_digest").agg(F.min("n_tokens").alias("n")).select(F.col("content_digest").alias(key), F.col("n").alias(shared.free_name([*docs.columns, key], "n")))
+    counts = shared.written(counts, "token-counts")  # both sides of the join are then plain exchanges, whose hot partitions the engine splits
     n = counts.columns[1]
     out = docs.drop(count).withColumn(key, digest).join(counts, key, "left")
     return out.withColumn(count, F.col(n)).drop(key, *([n] if n != count else []))
