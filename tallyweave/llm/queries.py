@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_records, decontaminate, kd_shards, secrets, shared, simhash, token_cache, va_search
+from . import binary_records, decontaminate, kd_shards, quality, secrets, shared, simhash, token_cache, va_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labelled ones outside the held-out fifth."""
+    held = shared.crc_mod("doc_id", 5) == 0
+    scored = quality.with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents through a cache that starts empty."""
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
