@@ -1,9 +1,10 @@
 """Encoding of whole texts with a public tokenizer file, memoised by blank-delimited piece.
 
 A byte-level BPE cuts a text into pretokens before it merges bytes, and always cuts in front of
-white space that follows a non-blank. A text can therefore be cut there first: the ids of the text
+a blank that follows a non-blank. A text can therefore be cut there first: the ids of the text
 are the ids of its pieces, one after the other. Pieces recur far more often than texts, so a worker
-encodes each distinct piece once with the ``tokenizers`` library and joins the stored ids.
+encodes each distinct piece once with the ``tokenizers`` library and joins the stored ids. Texts
+with runs of white space or special strings are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ import numpy as np
 
 #: The tokenizer file that the queries use; any byte-level BPE of the library works.
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Pieces held by one Python worker before the memo starts again: bounds its memory (about 150 MB).
+#: Pieces held by one Python worker before the long ones are let go: bounds its memory (about 150 MB).
 MEMO_PIECES = 1_000_000
-#: Longer pieces are encoded but not held.
-MEMO_PIECE_CHARS = 64
-#: Characters that Python counts as blank and the pretokenizer doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
-_PIECE = re.compile(r"\s*\S+|\s+")
+#: Longer pieces seldom recur: they are encoded but not held, or not held once the memo is full.
+MEMO_PIECE_CHARS, MEMO_SHORT_CHARS = 24, 8
+#: The characters that the pretokenizer takes for white space, but for the blank itself.
+_SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ASCII_RUNS = tuple(f"{c} " for c in " \t\n\x0b\x0c\r")
+_RUN = re.compile(f"[ {_SPACES}] ")
 
 
 def default_path() -> str:
@@ -71,36 +73,49 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Put ids of distinct new pieces into the memo. Those that begin with a blank are encoded in long joins, and cut apart by their bytes."""
-        joined = [p for p in pieces if p[0] == " " and not p[-1].isspace()]
-        alone = [p for p in pieces if p[0] != " " or p[-1].isspace()]
+    def _cut(self, text: str) -> list[str] | None:
+        """The parts between blanks, where each blank follows a non-blank; None where some does not, or a special string occurs."""
+        if any(s in text for s in self.specials):
+            return None
+        if any(r in text for r in _ASCII_RUNS) or (not text.isascii() and _RUN.search(text)):
+            return None
+        return text.split(" ")
+
+    def _learn(self, parts: list[str]) -> None:
+        """Put the ids of " " + part into the memo, for distinct new parts: they are encoded in long joins, and cut apart by their bytes."""
         memo, w = self.memo, self.width
-        parts = [joined[at : at + 2048] for at in range(0, len(joined), 2048)]
-        for part, e in zip(parts, self.tok.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+        runs = [parts[at : at + 2048] for at in range(0, len(parts), 2048)]
+        for run, e in zip(runs, self.tok.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
-            cuts = np.cumsum([len(p) for p in map(str.encode, part)])
+            cuts = np.cumsum([len(p) + 1 for p in map(str.encode, run)])
             ends = ((np.searchsorted(np.cumsum(self.lengths[ids]), cuts) + 1) * w).tolist()
             raw, last = ids.tobytes(), 0
-            for p, k in zip(part, ends, strict=True):
+            for p, k in zip(run, ends, strict=True):
                 memo[p] = raw[last:k]
                 last = k
-        if alone:
-            memo.update(zip(alone, self._whole(alone), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; null counts as empty. Special strings are handled as the library's default does."""
         texts = ["" if t is None else t for t in texts]
         if not self.by_piece:
             return self._whole(texts)
-        cut = [None if _ODD.search(t) or any(s in t for s in self.specials) else _PIECE.findall(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
+        whole = iter(self._whole([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
+        heads = iter(self._whole([parts[0] for parts in cut if parts is not None]))  # a text's first part has no blank before it
+        if len(self.memo) > MEMO_PIECES:
+            self.memo = {p: v for p, v in self.memo.items() if len(p) <= MEMO_SHORT_CHARS}
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
-        new = set().union(*filter(None, cut)).difference(self.memo)
+        new = set()
+        for parts in cut:
+            if parts:
+                new.update(parts[1:])
+        new.difference_update(self.memo)
+        new = list(new)
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.memo.__getitem__
-        out = [self._whole([t])[0] if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+        out = [next(whole) if parts is None else b"".join([next(heads), *map(get, parts[1:])]) for parts in cut]
         for p in new:
             if len(p) > MEMO_PIECE_CHARS:
                 del self.memo[p]
