@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_records, decontaminate, kd_shards, packing, quality, secrets, shared, simhash, token_cache, va_search
+from . import binary_records, decontaminate, kd_shards, ngram_trie, packing, quality, secrets, shared, simhash, token_cache, va_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those outside the held-out seventh."""
+    held = shared.crc_mod("doc_id", 7) == 2
+    scored = ngram_trie.score(_table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labelled ones outside the held-out fifth."""
     held = shared.crc_mod("doc_id", 5) == 0
