@@ -112,7 +112,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str | None = None,
             out, k = _File(), k + 1
 
         for b in batches:
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
                 if out.bytes and out.bytes + len(ids) > file_bytes:
                     close()
                 out.add(b"".join((struct.pack("<q", doc), width, ids, end)), len(ids) // enc.width + 1)

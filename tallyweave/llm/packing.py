@@ -121,7 +121,7 @@ def encode_queues(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         enc, part, before = tokenize.encoder(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
+            ids = [x + end for x in enc.encode(b.column("text"))]
             counts = [len(x) // enc.width for x in ids]
             local = []
             for q, n in zip(b.column("queue").to_pylist(), counts, strict=True):

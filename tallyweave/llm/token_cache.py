@@ -33,9 +33,8 @@ def count_misses(misses: DataFrame, tokenizer_path: str, version: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenize.encoder(tokenizer_path)
         for b in batches:
-            ids = enc.encode(b.column("text").to_pylist())
-            counts = pa.array([len(x) // enc.width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("content_digest"), pa.array([version] * len(ids), pa.string()), counts], ["content_digest", "tokenizer_digest", "n_tokens"])
+            _, counts = enc.encode_array(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("content_digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts)], ["content_digest", "tokenizer_digest", "n_tokens"])
 
     return misses.mapInArrow(run, CACHE_SCHEMA)
 

@@ -14,17 +14,17 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The tokenizer file that the queries use; any byte-level BPE of the library works.
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Pieces held by one Python worker before the long ones are let go: bounds its memory (about 150 MB).
 MEMO_PIECES = 1_000_000
 #: Longer pieces seldom recur: they are encoded but not held, or not held once the memo is full.
-MEMO_PIECE_CHARS, MEMO_SHORT_CHARS = 24, 8
-#: The characters that the pretokenizer takes for white space, but for the blank itself.
-_SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_ASCII_RUNS = tuple(f"{c} " for c in " \t\n\x0b\x0c\r")
-_RUN = re.compile(f"[ {_SPACES}] ")
+MEMO_PIECE_CHARS, MEMO_SHORT_CHARS = 12, 8
+#: The characters that the pretokenizer takes for white space.
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def default_path() -> str:
@@ -46,6 +46,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(0)  # the memo stands in for it
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.width = self.dtype.itemsize
@@ -60,7 +62,7 @@ class Encoder:
             and not pre.get("add_prefix_space", True)
             and spec["model"].get("type") == "BPE"
             and not spec["model"].get("dropout")
-            and not any(re.search(r"\s", s) for s in self.specials)
+            and not any(c.isspace() for s in self.specials for c in s)
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
         )
         self.lengths = None
@@ -68,58 +70,65 @@ class Encoder:
             self.lengths = np.zeros(size, np.int64)
             for token, i in self.tok.get_vocab(with_added_tokens=False).items():
                 self.lengths[i] = len(token)  # one character stands for one byte
-        self.memo: dict[str, bytes] = {}
+            self.memo: dict[str, bytes] = {"": self._whole([" "])[0]}
+            #: A text with a blank after white space, or a special string, is encoded whole.
+            self.not_by_piece = "|".join([f"[{_SPACES}] ", *map(re.escape, self.specials)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _cut(self, text: str) -> list[str] | None:
-        """The parts between blanks, where each blank follows a non-blank; None where some does not, or a special string occurs."""
-        if any(s in text for s in self.specials):
-            return None
-        if any(r in text for r in _ASCII_RUNS) or (not text.isascii() and _RUN.search(text)):
-            return None
-        return text.split(" ")
-
-    def _learn(self, parts: list[str]) -> None:
-        """Put the ids of " " + part into the memo, for distinct new parts: they are encoded in long joins, and cut apart by their bytes."""
-        memo, w = self.memo, self.width
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """The ids of " " + part for each of some distinct parts: they are encoded in long joins, and cut apart by their bytes."""
+        out, w = [], self.width
         runs = [parts[at : at + 2048] for at in range(0, len(parts), 2048)]
         for run, e in zip(runs, self.tok.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             cuts = np.cumsum([len(p) + 1 for p in map(str.encode, run)])
             ends = ((np.searchsorted(np.cumsum(self.lengths[ids]), cuts) + 1) * w).tolist()
-            raw, last = ids.tobytes(), 0
-            for p, k in zip(run, ends, strict=True):
-                memo[p] = raw[last:k]
-                last = k
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as bytes; null counts as empty. Special strings are handled as the library's default does."""
-        texts = ["" if t is None else t for t in texts]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; how many each has). Null counts as empty; special strings are handled as the library's default does."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         if not self.by_piece:
-            return self._whole(texts)
-        cut = [self._cut(t) for t in texts]
-        whole = iter(self._whole([t for t, parts in zip(texts, cut, strict=True) if parts is None]))
-        heads = iter(self._whole([parts[0] for parts in cut if parts is not None]))  # a text's first part has no blank before it
+            raw = self._whole(texts.to_pylist())
+            return np.frombuffer(b"".join(raw), self.dtype), np.array([len(r) // self.width for r in raw], np.int64)
+        whole = pc.match_substring_regex(texts, self.not_by_piece)
+        lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        per = lists.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(per) - per
+        # a text's first part has no blank before it; of a text that is encoded whole it stands for all
+        heads = self._whole([t if w else parts[c] for t, w, c in zip(texts.to_pylist() if pc.any(whole).as_py() else [""] * len(texts), whole.to_pylist(), code[first].tolist(), strict=True)])
         if len(self.memo) > MEMO_PIECES:
             self.memo = {p: v for p, v in self.memo.items() if len(p) <= MEMO_SHORT_CHARS}
         if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        new = set()
-        for parts in cut:
-            if parts:
-                new.update(parts[1:])
-        new.difference_update(self.memo)
-        new = list(new)
-        if new:
-            self._learn(new)
-        get = self.memo.__getitem__
-        out = [next(whole) if parts is None else b"".join([next(heads), *map(get, parts[1:])]) for parts in cut]
-        for p in new:
-            if len(p) > MEMO_PIECE_CHARS:
-                del self.memo[p]
-        return out
+            self.memo = {"": self.memo[""]}
+        table = list(map(self.memo.get, parts))
+        new = [i for i, v in enumerate(table) if v is None]
+        for i, v in zip(new, self._learn([parts[i] for i in new]), strict=True):
+            table[i] = v
+            if len(parts[i]) <= MEMO_PIECE_CHARS:
+                self.memo[parts[i]] = v
+        table += heads
+        code[first] = len(parts) + np.arange(len(first))
+        held = np.fromiter(map(len, table), np.int64, len(table)) // self.width
+        ids, starts = np.frombuffer(b"".join(table), self.dtype), np.cumsum(held) - held
+        n = held[code]
+        ends = np.cumsum(n)
+        where = np.arange(ends[-1]) + np.repeat(starts[code] - (ends - n), n)
+        return ids[where], np.add.reduceat(n, first)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Ids of each text as bytes."""
+        ids, n = self.encode_array(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        raw, ends = ids.tobytes(), (np.cumsum(n) * self.width).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _encoders: dict[str, Encoder] = {}
