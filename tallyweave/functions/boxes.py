@@ -59,7 +59,8 @@ def height(b: Column) -> Column:
 
 
 def area(b: Column) -> Column:
-    return width(b) * height(b)
+    """Null where there is no box."""
+    return F.when(b["x1"].isNotNull(), width(b) * height(b))
 
 
 def metrics(b: Column) -> Column:

@@ -8,13 +8,14 @@ run per case over the pairs that the join let through.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweave.functions import boxes
 
+from .cases import by_case
+
 
 def overlapping(left: DataFrame, right: DataFrame, case: list[str], test) -> DataFrame:
     """Pairs (l_*, r_*) of rows of a case whose boxes (columns idx, box) pass ``test(left box, right box)``."""
@@ -37,33 +38,34 @@ def strict_candidates(pairs: DataFrame, iou: float, coverage: float, max_ratio:
     return pairs.filter((F.col("iou") >= iou) | both).withColumn("score", score)
 
 
-def take_greedily(frame: pd.DataFrame, order: list[str], ascending: bool | list[bool], left: str = "l_idx", right: str = "r_idx") -> pd.DataFrame:
-    """Rows of candidates in order, each side used once."""
-    used_l, used_r, keep = set(), set(), []
-    for i, a, b in frame.sort_values(order, ascending=ascending, kind="stable")[[left, right]].itertuples():
-        if a not in used_l and b not in used_r:
-            used_l.add(a)
-            used_r.add(b)
-            keep.append(i)
-    return frame.loc[keep]
+def greedy(pairs: DataFrame, case: list[str], order: list[Column]) -> DataFrame:
+    """One-to-one matches of each case, in the order given; rows that come later lose."""
+    left, right = pairs.columns.index("l_idx"), pairs.columns.index("r_idx")
 
+    def take(rows: list[tuple]) -> list[tuple]:
+        used_l, used_r, kept = set(), set(), []
+        for row in rows:
+            if row[left] not in used_l and row[right] not in used_r:
+                used_l.add(row[left])
+                used_r.add(row[right])
+                kept.append(row)
+        return kept
 
-def greedy(pairs: DataFrame, case: list[str], order: list[str], ascending: bool | list[bool]) -> DataFrame:
-    """One-to-one matches of each case, best first; ties go by the later columns of ``order``."""
-    return pairs.groupBy(*case).applyInPandas(lambda f: take_greedily(f, order, ascending), pairs.schema)
+    return by_case(pairs, case, order, take, pairs.schema)
 
 
 def match_strict(expected: DataFrame, predicted: DataFrame, case: list[str], iou: float = 0.5, coverage: float = 0.7, max_ratio: float = 3.0) -> DataFrame:
     """One-to-one matches by score, then coverages, then places, the greater first."""
     found = strict_candidates(box_pairs(expected, predicted, case), iou, coverage, max_ratio)
-    return greedy(found, case, ["score", "expected_coverage", "predicted_coverage", "l_idx", "r_idx"], False)
+    slim = found.select(*case, "l_idx", "r_idx", "iou", "expected_coverage", "predicted_coverage", "area_ratio", "score")
+    return greedy(slim, case, [F.col(c).desc() for c in ("score", "expected_coverage", "predicted_coverage", "l_idx", "r_idx")])
 
 
 def match_overlap(expected: DataFrame, predicted: DataFrame, case: list[str], least: float = 0.3) -> DataFrame:
     """One-to-one matches by shared area over the smaller box, the greater first, then by place."""
     pairs = overlapping(expected, predicted, case, lambda a, b: boxes.overlap_of_smaller(a, b) >= least)
     scored = pairs.withColumn("score", boxes.overlap_of_smaller(F.col("l_box"), F.col("r_box")))
-    return greedy(scored, case, ["score", "l_idx", "r_idx"], [False, True, True])
+    return greedy(scored.select(*case, "l_idx", "r_idx", "score"), case, [F.col("score").desc(), F.col("l_idx"), F.col("r_idx")])
 
 
 def cover_score() -> Column:
@@ -88,16 +90,19 @@ def match_closed_loop(expected: DataFrame, predicted: DataFrame, case: list[str]
     least = F.when(boxes.kind_class(F.col("l_kind")) == "text", text_coverage).otherwise(coverage)
     found = box_pairs(expected, predicted, case).filter(F.col("expected_coverage") >= least).withColumn("score", cover_score())
 
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for _, mine in frame.sort_values(["l_idx", "score", "r_idx"], ascending=[True, False, True], kind="stable").groupby("l_idx", sort=True):
-            free = mine[~mine["r_idx"].isin(used)]
-            if len(free):
-                used.add(free["r_idx"].iloc[0])
-                keep.append(free.index[0])
-        return frame.loc[keep]
+    slim = found.select(*case, "l_idx", "r_idx", "iou", "expected_coverage", "predicted_coverage", "area_ratio", "score")
+    left, right = len(case), len(case) + 1
+
+    def take(rows: list[tuple]) -> list[tuple]:
+        served, used, kept = set(), set(), []
+        for row in rows:
+            if row[left] not in served and row[right] not in used:
+                served.add(row[left])
+                used.add(row[right])
+                kept.append(row)
+        return kept
 
-    return found.groupBy(*case).applyInPandas(take, found.schema)
+    return by_case(slim, case, [F.col("l_idx"), F.col("score").desc(), F.col("r_idx")], take, slim.schema)
 
 
 def missing(expected: DataFrame, matches: DataFrame, case: list[str]) -> DataFrame:
@@ -154,13 +159,18 @@ def match_regions(left: DataFrame, right: DataFrame, case: list[str], most: floa
     pairs = overlapping(left, right, case, lambda a, b: F.lit(True)).withColumn("cost", region_cost(F.col("l_box"), F.col("r_box"), F.col("l_label"), F.col("r_label")))
     slim = pairs.select(*case, "l_idx", "r_idx", "cost")
 
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = frame.pivot(index="l_idx", columns="r_idx", values="cost").sort_index().sort_index(axis=1)
-        rows = [(grid.index[r], grid.columns[c]) for r, c in assign_least_cost(grid.to_numpy())]
-        kept = frame.set_index(["l_idx", "r_idx"]).loc[rows].reset_index()[list(frame.columns)]
-        return kept[kept["cost"] < most]
+    k = len(case)
+
+    def take(rows: list[tuple]) -> list[tuple]:
+        lefts, rights = sorted({r[k] for r in rows}), sorted({r[k + 1] for r in rows})
+        place_l, place_r = {v: i for i, v in enumerate(lefts)}, {v: i for i, v in enumerate(rights)}
+        cost = np.empty((len(lefts), len(rights)))
+        for r in rows:
+            cost[place_l[r[k]], place_r[r[k + 1]]] = r[k + 2]
+        chosen = [(*rows[0][:k], lefts[i], rights[j], float(cost[i, j])) for i, j in assign_least_cost(cost)]
+        return [c for c in chosen if c[-1] < most]
 
-    return slim.groupBy(*case).applyInPandas(take, slim.schema)
+    return by_case(slim, case, [F.col("l_idx"), F.col("r_idx")], take, slim.schema)
 
 
 def match_positions(left: DataFrame, right: DataFrame, case: list[str], most_dx: float, most_dy: float, most_cost: float = 0.16) -> DataFrame:
@@ -169,7 +179,7 @@ def match_positions(left: DataFrame, right: DataFrame, case: list[str], most_dx:
     gap = lambda c: F.abs(F.col(f"l_{c}") - F.col(f"r_{c}"))
     near = side(left, "l").join(side(right, "r"), case).filter((gap("cx") <= most_dx) & (gap("cy") <= most_dy))
     near = near.withColumn("cost", gap("cx") + gap("cy") + 0.5 * (gap("w") + gap("h"))).filter(F.col("cost") <= most_cost)
-    return greedy(near, case, ["cost", "l_idx", "r_idx"], True)
+    return greedy(near.select(*case, "l_idx", "r_idx", "cost"), case, [F.col("cost"), F.col("l_idx"), F.col("r_idx")])
 
 
 def nearest_line(candidates: DataFrame, lines: DataFrame, case: list[str], overlap: float = 0.2, row_overlap: float = 0.5, most_gap: float = 80.0) -> DataFrame:

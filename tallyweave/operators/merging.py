@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweave.functions import boxes
 
+from .cases import by_case
+
 Box = tuple[float, float, float, float]
 
 
@@ -29,20 +29,20 @@ def same_display(a: Column, b: Column) -> Column:
     return (boxes.overlap_of_smaller(a, b) >= 0.15) | ((boxes.vertical_overlap(a, b) >= 0.55) & (boxes.horizontal_gap(a, b) <= 18))
 
 
-def _least_reachable(nodes: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    place = {n: i for i, n in enumerate(nodes.tolist())}
-    root = list(range(len(nodes)))
+def least_reachable(nodes: list[int], pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """node -> the least node that pairs reach."""
+    root = {n: n for n in nodes}
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def top(n: int) -> int:
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
 
-    for a, b in zip(u.tolist(), v.tolist(), strict=True):
-        x, y = sorted((top(place[a]), top(place[b])))
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
         root[y] = x
-    return nodes[[top(i) for i in range(len(nodes))]]
+    return {n: top(n) for n in nodes}
 
 
 def component_of(rows: DataFrame, case: list[str], related: Callable[[Column, Column], Column]) -> DataFrame:
@@ -54,16 +54,14 @@ def component_of(rows: DataFrame, case: list[str], related: Callable[[Column, Co
     pairs = a.join(b, case).filter("a_idx < b_idx").filter(related(F.col("a_box"), F.col("b_box"))).select(*case, "a_idx", "b_idx")
     ends = pairs.unionByName(rows.select(*case, F.col("idx").alias("a_idx"), F.col("idx").alias("b_idx")))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.sort(frame["a_idx"][frame["a_idx"] == frame["b_idx"]].unique())
-        out = frame.iloc[:0][case].reindex(range(len(nodes)))
-        for c in case:
-            out[c] = frame[c].iloc[0]
-        out["idx"], out["component"] = nodes, _least_reachable(nodes, frame["a_idx"].to_numpy(), frame["b_idx"].to_numpy())
-        return out
+    k = len(case)
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        found = least_reachable([r[k] for r in rows if r[k] == r[k + 1]], [r[k:] for r in rows if r[k] != r[k + 1]])
+        return [(*rows[0][:k], n, c) for n, c in found.items()]
 
     fields = rows.select(*case, "idx", F.col("idx").alias("component")).schema
-    return rows.join(ends.groupBy(*case).applyInPandas(run, fields), [*case, "idx"])
+    return rows.join(by_case(ends, case, [], run, fields), [*case, "idx"])
 
 
 def merged(grouped: DataFrame, case: list[str]) -> DataFrame:
@@ -177,34 +175,27 @@ def accept_in_order(items: list[tuple[Box, bool, bool]], iou: float = 0.15, cove
     return out
 
 
-def _corners(frame: pd.DataFrame) -> list[Box]:
-    return [tuple(map(float, b)) for b in frame[["x1", "y1", "x2", "y2"]].to_numpy()]
-
-
 def merge_parts(rows: DataFrame, case: list[str], crop_w: float, crop_h: float) -> DataFrame:
     """The boxes (x1, y1, x2, y2) of each case joined by ``related_parts`` until stable."""
-    fields = rows.select(*case, *[F.col(s).cast("double").alias(s) for s in boxes.SIDES]).schema
+    slim, k = rows.select(*case, *[F.col(s).cast("double").alias(s) for s in boxes.SIDES]), len(case)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(grow_until_stable(_corners(frame), lambda a, b: related_parts(a, b, crop_w, crop_h)), columns=list(boxes.SIDES))
-        for c in reversed(case):
-            out.insert(0, c, frame[c].iloc[0])
-        return out
+    def run(held: list[tuple]) -> list[tuple]:
+        grown = grow_until_stable([r[k:] for r in held], lambda a, b: related_parts(a, b, crop_w, crop_h))
+        return [(*held[0][:k], *b) for b in grown]
 
-    return rows.groupBy(*case).applyInPandas(run, fields)
+    return by_case(slim, case, [], run, slim.schema)
 
 
 def review_groups(rows: DataFrame, case: list[str], image_w: float, image_h: float) -> DataFrame:
     """rows (idx, x1, y1, x2, y2) with ``review_group``."""
+    slim, k = rows.select(*case, "idx", *[F.col(s).cast("double").alias(s) for s in boxes.SIDES]), len(case)
     fields = rows.select(*case, "idx", F.lit(0).alias("review_group")).schema
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        got = group_rows(list(zip(frame["idx"].tolist(), _corners(frame), strict=True)), image_w, image_h)
-        out = frame[[*case, "idx"]].copy()
-        out["review_group"] = [got[i] for i in frame["idx"].tolist()]
-        return out
+    def run(held: list[tuple]) -> list[tuple]:
+        got = group_rows([(r[k], r[k + 1 :]) for r in held], image_w, image_h)
+        return [(*held[0][:k], i, g) for i, g in got.items()]
 
-    return rows.join(rows.groupBy(*case).applyInPandas(run, fields), [*case, "idx"])
+    return rows.join(by_case(slim, case, [F.col("idx")], run, fields), [*case, "idx"])
 
 
 def runs(rows: DataFrame, case: list[str], at: str) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tallyweave.operators.cases import by_case
+
 CLEAR, COMMIT = "Escape", "Enter"
 
 
@@ -136,11 +138,12 @@ def accepted_stream(scans: DataFrame) -> DataFrame:
 def per_device(rows: DataFrame, columns: list[str], rule) -> DataFrame:
     """The batch form of a sequential rule: rows (device, at, ...) that ``rule`` lets through, device by device in order of time."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(columns, kind="stable")
-        return frame[rule(list(frame[columns].itertuples(index=False, name=None)))]
+    at = [rows.columns.index(c) for c in columns]
+
+    def run(held: list[tuple]) -> list[tuple]:
+        return [r for r, sent in zip(held, rule([tuple(r[i] for i in at) for r in held]), strict=True) if sent]
 
-    return rows.groupBy("device").applyInPandas(run, rows.schema)
+    return by_case(rows, ["device"], [F.col(c) for c in columns], run, rows.schema)
 
 
 def new_results(spark, path: str, schema: str, sink, checkpoint: str):
