@@ -163,10 +163,12 @@ class Automaton:
 
 
 _built: dict[str, Automaton] = {}
+shared.holds("decontaminate", _built.clear)
 
 
 def _automaton(key: str, window: int, items: list[tuple[str, str]]) -> Automaton:
     """The automaton of a block, built once in each worker; a worker holds one at a time."""
+    shared.claim("decontaminate")
     if key not in _built:
         _built.clear()
         _built[key] = Automaton([(i, words_of(t)) for i, t in items], window)

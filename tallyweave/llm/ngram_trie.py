@@ -118,6 +118,10 @@ def _mapped(path: str) -> tuple[dict, dict[str, np.ndarray]]:
 _sequences: dict[tuple[str, str], EliasFano] = {}
 
 
+shared.holds("ngram_trie", _open.clear)
+shared.holds("ngram_trie", _sequences.clear)
+
+
 def _sequence(path: str, name: str) -> EliasFano:
     if (path, name) not in _sequences:
         if len(_sequences) > 8192:
@@ -264,6 +268,7 @@ class Model:
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(lengths, ids, counts, place in text) of all tokens of the texts, end tokens included, one after the other."""
+        shared.claim("ngram_trie")
         index = _Index()
         get, rows = index.__getitem__, []
         get(END)

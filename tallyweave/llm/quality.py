@@ -2,7 +2,7 @@
 
 Tokens are runs of letters and digits as they stand (case tells shouting from prose), and runs of other signs; blanks
 but line ends are dropped. Each token, each pair of neighbours, and each token's shape hash to one of 2**bits
-features; a text's value at a feature is the square root of its count, and the vector is scaled to length one.
+features; a text's value at a feature is the feature's share of all occurrences in the text.
 The score is the sigmoid of its sparse dot product with the weights.
 
 Training reads a bounded sample of the labelled rows (``max_rows``, the least by a hash of the id), in the order of
@@ -32,60 +32,90 @@ EPOCHS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.2, 0.5
 #: A document is good where its score reaches this.
 THRESHOLD = 0.3
-#: Hashes of tokens held by one worker before the memo starts again.
-MEMO_TOKENS = 500_000
+#: Values of a text's features sum to this.
+SCALE = 8.0
+#: Texts scored at once.
+AT_ONCE = 128
+#: Tokens held by one worker before the memo starts again.
+MEMO_TOKENS = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+|\n+")
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _shape(token: str) -> str:
-    """A rough sketch of a token: its kinds of signs, and its length to a factor of two."""
-    kind = "U" if token.isupper() and len(token) > 1 else "C" if token[:1].isupper() else "l" if token.islower() else "d" if token.isdigit() else token[:3] if not token[0].isalnum() else "m"
+    """A rough sketch of a token: its kind of signs, and its length to a factor of two."""
+    if token.islower():
+        kind = "l"
+    elif not token[0].isalnum():
+        kind = token[:3]
+    elif token.isupper():
+        kind = "U" if len(token) > 1 else "C"
+    else:
+        kind = "C" if token[0].isupper() else "d" if token.isdigit() else "m"
     return f"{kind}{len(token).bit_length()}"
 
 
+_shapes: dict[str, int] = {}
+
+
 class _Memo(dict):
-    """token -> (its hash, its shape's hash) packed in one list."""
+    """token -> its number; ``hashes`` holds the hash of the token and of its shape by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = np.zeros((1 << 14, 2), np.uint64)
 
     def __missing__(self, token: str) -> int:
         k = len(self)
+        if k == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[k, 0] = xxhash.xxh64_intdigest(token)
+        shape = _shape(token)
+        if shape not in _shapes:
+            if len(_shapes) > 10_000:
+                _shapes.clear()
+            _shapes[shape] = xxhash.xxh64_intdigest(shape, 1)
+        self.hashes[k, 1] = _shapes[shape]
         self[token] = k
-        self.tokens.append(xxhash.xxh64_intdigest(token))
-        self.shapes.append(xxhash.xxh64_intdigest(_shape(token), 1))
         return k
 
-    def start(self) -> None:
-        self.clear()
-        self.tokens, self.shapes = [], []
-
 
 _memo = _Memo()
-_memo.start()
+shared.holds("quality", _memo.clear)
 
 
-def features(texts: list[str | None], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(indices, values) of each text: distinct indices in order, values of length one together."""
+def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(index, number of the text) of each occurrence of a feature."""
+    shared.claim("quality")
     if len(_memo) > MEMO_TOKENS:
-        _memo.start()
-    get = _memo.__getitem__
-    known = [np.fromiter(map(get, _TOKEN.findall(t or "")), np.int64) for t in texts]
-    tokens, shapes = np.array(_memo.tokens, np.uint64), np.array(_memo.shapes, np.uint64)
-    out = []
-    for k in known:
-        one, shape = tokens[k], shapes[k]
-        two = (one[:-1] * _ODD) ^ one[1:]
-        shape2 = (shape[:-1] * _ODD) ^ (shape[1:] * _MIX)
-        same = np.full(int((k[:-1] == k[1:]).sum()), np.uint64(7))  # a token that follows itself
-        every = np.concatenate([one, two, shape, shape2, same])
-        index = ((every * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
-        at, count = np.unique(index, return_counts=True)
-        value = np.sqrt(count)
-        out.append((at, value / max(1e-12, np.sqrt((value * value).sum()))))
+        _memo.clear()
+    get, find = _memo.__getitem__, _TOKEN.findall
+    found = [np.fromiter(map(get, find(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+    n = np.array([len(f) for f in found], np.int64)
+    k = np.concatenate(found) if found else np.zeros(0, np.int64)
+    one, shape = _memo.hashes[k, 0], _memo.hashes[k, 1]
+    text = np.repeat(np.arange(len(n)), n)
+    pair = np.nonzero(text[1:] == text[:-1])[0]  # neighbours within a text
+    two = (one[pair] * _ODD) ^ one[pair + 1]
+    shapes = (shape[pair] * _ODD) ^ (shape[pair + 1] * _MIX)
+    twice = pair[k[pair] == k[pair + 1]]  # a token that follows itself
+    every = np.concatenate([one, two, shape, shapes, np.full(len(twice), 7, np.uint64)])
+    of = np.concatenate([text, text[pair], text, text[pair], text[twice]])
+    return ((every * _MIX) >> np.uint64(64 - bits)).astype(np.int64), of
+
+
+def vectors(texts: list[str | None], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct indices in order, values) of each text: a value is SCALE times the feature's share of the text's features."""
+    index, of = features(texts, bits)
+    n, out = np.bincount(of, minlength=len(texts)), []
+    for part in np.split(index[np.argsort(of, kind="stable")], np.cumsum(n)[:-1]):
+        at, count = np.unique(part, return_counts=True)
+        out.append((at, count * (SCALE / max(1, len(part)))))
     return out
 
 
-def sigmoid(x: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
+def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
 @dataclass
@@ -97,7 +127,10 @@ class Model:
     bits: int = BITS
 
     def score(self, texts: list[str | None]) -> list[float]:
-        return [sigmoid(float(self.weights[i] @ v) + self.bias) for i, v in features(texts, self.bits)]
+        index, of = features(texts, self.bits)
+        n = np.bincount(of, minlength=len(texts))
+        sums = np.bincount(of, self.weights[index], len(texts))
+        return sigmoid(sums * (SCALE / np.maximum(n, 1)) + self.bias).tolist()
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Model:
@@ -143,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = features(b.column("text").to_pylist(), bits)
+            found = vectors(b.column("text").to_pylist(), bits)
             yield pa.RecordBatch.from_arrays([b.column("place"), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary()), b.column("label")], ["place", "at", "value", "label"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +206,7 @@ def scores(spark, model: Model, text: Column) -> Column:
         own = Model(weights, bias, bits)
         for batch in texts:
             listed = batch.to_pylist()
-            yield pa.array([s for at in range(0, len(listed), 64) for s in own.score(listed[at : at + 64])], pa.float64())
+            yield pa.array([s for at in range(0, len(listed), AT_ONCE) for s in own.score(listed[at : at + AT_ONCE])], pa.float64())
 
     return run(text)
 

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: bounds what a Python worker holds of whole texts.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 #: Bytes of one, unless a single row has more.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,6 +81,25 @@ def local_fs(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+_clear: dict[str, list] = {}
+_holder: list[str] = []
+
+
+def holds(owner: str, clear) -> None:
+    """Register how a worker lets go of what ``owner`` keeps between batches."""
+    _clear.setdefault(owner, []).append(clear)
+
+
+def claim(owner: str) -> None:
+    """``owner`` is at work in this process: what the others keep goes, so that a reused worker holds one operator's memos at a time."""
+    if _holder != [owner]:
+        _holder[:] = [owner]
+        for name, clears in _clear.items():
+            if name != owner:
+                for clear in clears:
+                    clear()
+
+
 def put_file(path: str, data: bytes) -> None:
     """Write a file whole under a name of its own, then rename it: a task that runs twice leaves one whole file."""
     files, at = local_fs(path)

@@ -42,12 +42,20 @@ def test_update_against_the_textbook():
 
 def test_features_do_not_depend_on_what_was_seen():
     texts = ["One two THREE!!! two two", "", None, "x" * 50_000, "é è *** ### ê\n\nend"]
-    first = quality.features(texts)
-    quality.features([f"w{i}" for i in range(1000)])
-    quality._memo.start()
-    for (a, b), (c, d) in zip(first, quality.features(texts[::-1])[::-1]):
+    first = quality.vectors(texts)
+    quality.vectors([f"w{i}" for i in range(40_000)])
+    quality._memo.clear()
+    for (a, b), (c, d) in zip(first, quality.vectors(texts[::-1])[::-1]):
         assert (a == c).all() and np.allclose(b, d)
-    assert len(first[1][0]) == 0 and abs(float(first[0][1] @ first[0][1]) - 1) < 1e-9
+    assert len(first[1][0]) == 0 and abs(first[0][1].sum() - quality.SCALE) < 1e-9
+
+
+def test_scores_are_sparse_dot_products():
+    rng = np.random.default_rng(0)
+    model = quality.Model(rng.normal(size=1 << quality.BITS), 0.3)
+    texts = ["One two THREE!!! two two", "", None, "é è *** ### ê\n\nend", "a a a a"]
+    want = [quality.sigmoid(float(model.weights[i] @ v) + model.bias) for i, v in quality.vectors(texts)]
+    assert np.allclose(model.score(texts), want) and np.allclose([model.score([t])[0] for t in texts], want)
 
 
 def test_held_out_accuracy(spark):
