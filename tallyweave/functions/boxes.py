@@ -218,7 +218,7 @@ def to_pixels(b: Column, w: Column, h: Column, mode: Column) -> Column:
 def polygon_bounds(points: Column) -> Column:
     """The box about an array of [x, y] points; points that are short or null are passed over, and none gives null."""
     ok = F.filter(points, lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())
-    xs, ys = (F.transform(ok, lambda p, i=i: F.get(p, F.lit(i))) for i in (0, 1))
+    xs, ys = F.transform(ok, lambda p: F.get(p, F.lit(0))), F.transform(ok, lambda p: F.get(p, F.lit(1)))
     return F.when(F.size(ok) > 0, box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
 
 

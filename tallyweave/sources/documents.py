@@ -22,11 +22,13 @@ def listing(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...]) ->
 
 
 def documents(spark: SparkSession, path: str, schema: T.StructType | str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
-    """(documents with their path, paths that hold no such object). A corrupt file is a reject, not a failure."""
+    """(documents with their path, paths that hold no such object). A corrupt file is a reject, not a failure; a byte order mark is passed over."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     whole = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(whole).options(multiLine=True, mode="PERMISSIVE", pathGlobFilter=glob, recursiveFileLookup=True).json(path).withColumn("path", F.input_file_name())
-    return rows.filter("_corrupt_record IS NULL").drop("_corrupt_record"), rows.filter("_corrupt_record IS NOT NULL").select("path")
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).withColumn("path", F.input_file_name())
+    rows = raw.select("path", F.from_json(F.regexp_replace("value", "^\ufeff", ""), whole, {"mode": "PERMISSIVE"}).alias("d"))
+    fine = F.col("d").isNotNull() & F.col("d._corrupt_record").isNull()
+    return rows.filter(fine).select(*[F.col(f"d.{f.name}").alias(f.name) for f in schema.fields], "path"), rows.filter(~fine).select("path")
 
 
 def manifest_cases(manifests: DataFrame) -> DataFrame:
