@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import shared
+
 #: The tokenizer file that the queries use; any byte-level BPE of the library works.
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Pieces held by one Python worker before the long ones are let go: bounds its memory (about 150 MB).
+#: Pieces held by one Python worker before those that did not recur are let go: bounds its memory (about 35 MB).
 MEMO_PIECES = 1_000_000
-#: Longer pieces seldom recur: they are encoded but not held, or not held once the memo is full.
-MEMO_PIECE_CHARS, MEMO_SHORT_CHARS = 12, 8
+#: Longer pieces (in bytes) seldom recur: they are encoded but not held.
+MEMO_BYTES = 32
 #: The characters that the pretokenizer takes for white space.
 _SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -34,6 +36,78 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
+#: Parts whose ids are gathered at once.
+GATHER = 1 << 17
+#: Random words for the hash of a part, by place and byte; drawn from a fixed seed, so that a run can be repeated.
+_TABLE = np.random.default_rng(20).integers(0, 1 << 64, (MEMO_BYTES, 256), dtype=np.uint64, endpoint=False).ravel()
+
+
+def hashes(parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each part, whether it is short enough to be held).
+
+    Tabulation hashing: two parts of at most MEMO_BYTES bytes share a hash with probability 2**-64 over the table.
+    """
+    offsets = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+    raw = np.frombuffer(parts.buffers()[2], np.uint8) if parts.buffers()[2] else np.zeros(0, np.uint8)
+    n = np.diff(offsets)
+    short, keys = n <= MEMO_BYTES, np.full(len(parts), len(_TABLE), np.uint64)
+    some = np.nonzero(short & (n > 0))[0]
+    size = n[some]
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    words = _TABLE[place * 256 + raw[place + np.repeat(offsets[some], size)]]
+    if len(some):
+        keys[some] = np.add.reduceat(words, np.cumsum(size) - size) + size.astype(np.uint64)
+    return keys, short
+
+
+class Memo:
+    """hash of a part -> its ids, in sorted arrays: some 25 bytes an entry."""
+
+    def __init__(self, dtype: np.dtype):
+        self.keys, self.start = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.count, self.again = np.zeros(0, np.uint8), np.zeros(0, bool)
+        self.ids = np.zeros(0, dtype)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start in ids, count or -1) of each key."""
+        start, count = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            there = self.keys[at] == keys
+            at = at[there]
+            start[there], count[there] = self.start[at], self.count[at]
+            self.again[at] = True
+        return start, count
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        """New keys with their part of ``ids``; starts found before stay good."""
+        order = np.argsort(keys)
+        keys, start, count = keys[order], start[order], count[order]
+        where = np.repeat(start, count) + _steps(count)
+        place = np.searchsorted(self.keys, keys)
+        begin = len(self.ids) + np.cumsum(count) - count
+        self.keys = np.insert(self.keys, place, keys)
+        self.start = np.insert(self.start, place, begin.astype(np.uint32))
+        self.count = np.insert(self.count, place, count.astype(np.uint8))
+        self.again = np.insert(self.again, place, False)
+        self.ids = np.concatenate([self.ids, ids[where]])
+
+    def trim(self) -> None:
+        """Make room."""
+        if len(self.keys) <= MEMO_PIECES:
+            return
+        keep = np.nonzero(self.again)[0] if self.again.sum() <= MEMO_PIECES // 2 else np.zeros(0, np.int64)
+        n = self.count[keep].astype(np.int64)
+        self.ids = self.ids[np.repeat(self.start[keep].astype(np.int64), n) + _steps(n)]
+        self.keys, self.count = self.keys[keep], self.count[keep]
+        self.start, self.again = (np.cumsum(n) - n).astype(np.uint32), np.zeros(len(keep), bool)
+
+
+def _steps(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0]-1, 0 .. n[1]-1, ..."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned integers, ``width`` bytes each."""
 
@@ -70,59 +144,67 @@ class Encoder:
             self.lengths = np.zeros(size, np.int64)
             for token, i in self.tok.get_vocab(with_added_tokens=False).items():
                 self.lengths[i] = len(token)  # one character stands for one byte
-            self.memo: dict[str, bytes] = {"": self._whole([" "])[0]}
+            self.memo = Memo(self.dtype)
             #: A text with a blank after white space, or a special string, is encoded whole.
             self.not_by_piece = "|".join([f"[{_SPACES}] ", *map(re.escape, self.specials)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> list[bytes]:
-        """The ids of " " + part for each of some distinct parts: they are encoded in long joins, and cut apart by their bytes."""
-        out, w = [], self.width
+    def _learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of " " + part for each of some distinct parts, one after the other; how many each has): they are encoded in long joins, and cut apart by their bytes."""
+        ids, counts = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         runs = [parts[at : at + 2048] for at in range(0, len(parts), 2048)]
         for run, e in zip(runs, self.tok.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
+            ids.append(np.array(e.ids, self.dtype))
             cuts = np.cumsum([len(p) + 1 for p in map(str.encode, run)])
-            ends = ((np.searchsorted(np.cumsum(self.lengths[ids]), cuts) + 1) * w).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
-        return out
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.lengths[ids[-1]]), cuts) + 1, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; how many each has). Null counts as empty; special strings are handled as the library's default does."""
+        shared.claim("tokenize")
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        if not self.by_piece:
+        if self.by_piece:
+            self.memo.trim()
+        else:
             raw = self._whole(texts.to_pylist())
             return np.frombuffer(b"".join(raw), self.dtype), np.array([len(r) // self.width for r in raw], np.int64)
         whole = pc.match_substring_regex(texts, self.not_by_piece)
         lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         coded = lists.flatten().dictionary_encode()
-        parts, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        parts, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         per = lists.value_lengths().to_numpy().astype(np.int64)
         first = np.cumsum(per) - per
         # a text's first part has no blank before it; of a text that is encoded whole it stands for all
-        heads = self._whole([t if w else parts[c] for t, w, c in zip(texts.to_pylist() if pc.any(whole).as_py() else [""] * len(texts), whole.to_pylist(), code[first].tolist(), strict=True)])
-        if len(self.memo) > MEMO_PIECES:
-            self.memo = {p: v for p, v in self.memo.items() if len(p) <= MEMO_SHORT_CHARS}
-        if len(self.memo) > MEMO_PIECES:
-            self.memo = {"": self.memo[""]}
-        table = list(map(self.memo.get, parts))
-        new = [i for i, v in enumerate(table) if v is None]
-        for i, v in zip(new, self._learn([parts[i] for i in new]), strict=True):
-            table[i] = v
-            if len(parts[i]) <= MEMO_PIECE_CHARS:
-                self.memo[parts[i]] = v
-        table += heads
+        heads = parts.take(pa.array(code[first])).to_pylist()
+        for i in np.nonzero(whole.to_numpy(zero_copy_only=False))[0].tolist():
+            heads[i] = texts[i].as_py()
+        heads = self._whole(heads)
+        keys, short = hashes(parts)
+        start, count = self.memo.find(keys)
+        new = np.nonzero((count < 0) | ~short)[0]
+        ids, n = self._learn(parts.take(pa.array(new)).to_pylist())
+        at = np.cumsum(n) - n
+        hold = short[new]
+        self.memo.add(keys[new[hold]], ids, at[hold], n[hold])
+        held = self.memo.ids
+        start[new], count[new] = len(held) + at, n
+        head_n = np.array([len(h) // self.width for h in heads], np.int64)
+        start = np.concatenate([start, len(held) + len(ids) + np.cumsum(head_n) - head_n])
+        count = np.concatenate([count, head_n])
+        source = np.concatenate([held, ids, np.frombuffer(b"".join(heads), self.dtype)])
         code[first] = len(parts) + np.arange(len(first))
-        held = np.fromiter(map(len, table), np.int64, len(table)) // self.width
-        ids, starts = np.frombuffer(b"".join(table), self.dtype), np.cumsum(held) - held
-        n = held[code]
-        ends = np.cumsum(n)
-        where = np.arange(ends[-1]) + np.repeat(starts[code] - (ends - n), n)
-        return ids[where], np.add.reduceat(n, first)
+        n = count[code]
+        out = [np.zeros(0, self.dtype)]
+        for a in range(0, len(code), GATHER):  # a few at a time: places take eight bytes an id
+            c = code[a : a + GATHER]
+            k = count[c]
+            ends = np.cumsum(k)
+            out.append(source[np.arange(ends[-1]) + np.repeat(start[c] - (ends - k), k)])
+        return np.concatenate(out), np.add.reduceat(n, first)
 
     def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Ids of each text as bytes."""
@@ -132,6 +214,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+shared.holds("tokenize", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:

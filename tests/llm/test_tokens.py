@@ -29,8 +29,17 @@ def test_pieces_give_the_librarys_ids(text):
 def test_a_full_memo_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokenize, "MEMO_PIECES", 3)
     enc = tokenize.Encoder(tokenize.default_path())
-    for t in ["one two three four five", "two three", "six " * 50, "one two " + "x" * 200]:
-        assert np.frombuffer(enc.encode([t])[0], enc.dtype).tolist() == ids_of(t)
+    for texts in [["one two three four five", "two three"], ["six " * 50, "one two " + "x" * 200, "a "], ["two four"], ["one two three four five six seven"], [""], [None, "two"]] * 2:
+        assert [np.frombuffer(i, enc.dtype).tolist() for i in enc.encode(texts)] == [ids_of(t) for t in texts]
+
+
+def test_hashes():
+    import pyarrow as pa
+
+    parts = pa.array(["", "a", "b", "aa", "ab", "ba", "é", "x" * 32, "x" * 33, "y" * 40])
+    keys, short = tokenize.hashes(parts)
+    assert len(set(keys[:8].tolist())) == 8 and short.tolist() == [True] * 8 + [False] * 2
+    assert (tokenize.hashes(parts[3:6])[0] == keys[3:6]).all()
 
 
 def test_counts(spark, odd_docs):
