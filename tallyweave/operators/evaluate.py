@@ -92,9 +92,56 @@ def fused_decision(score: Column, model_decision: Column, model_sure: Column, sa
     return F.struct(decided.alias("decision"), ((decided == "unknown") | clash | (model_sure < 0.5)).alias("needs_review"), F.when(model_decision == "unknown", "shape").when(clash, "conflict").otherwise("model").alias("source"))
 
 
-def recovery_outcome(recovered: Column, foreground: Column, side: Column) -> Column:
-    """What becomes of a region without a partner: an empty place on the target is a mismatch, one on the template only a review; recovered ones are as compared."""
-    return F.when(recovered, "compared").when((foreground < 0.01) & (side == "template"), "mismatch").when(foreground < 0.01, "review").otherwise("unresolved")
+def recovery_outcome(reason: Column, side: Column, found_uncovered: Column) -> Column:
+    """struct<decision, confidence, needs_review, source, unresolved> of a region whose partner had to be inferred.
+
+    Too little there is a mismatch, and so is a graphic found beside the layout on the target that has no counterpart; any other failure is left to review.
+    """
+    empty, extra = reason == "low_foreground", (reason == "inference_failed") & (side == "target") & found_uncovered
+    sure = empty | extra
+    return F.struct(
+        F.when(sure, "mismatch").otherwise("unknown").alias("decision"),
+        F.when(empty, 0.95).when(extra, 0.90).otherwise(0.0).alias("confidence"),
+        (~sure).alias("needs_review"),
+        F.when(empty, "recovery_low_foreground").when(extra, "recovery_uncovered_target_graphic").otherwise("recovery_failed").alias("source"),
+        (~sure).alias("unresolved"),
+    )
+
+
+def expected_flags(kinds: Column, source: Column, mutations: Column, graphic_name: Column) -> Column:
+    """struct<text_diff, graphic_diff> that a sample should show, by its regions' kinds, its source of defects, or its counters."""
+    has = lambda k: F.coalesce(F.array_contains(kinds, k), F.lit(False))
+    src = F.coalesce(source, F.lit(""))
+    return F.struct((has("text") | src.isin("text_only", "mixed") | (F.coalesce(mutations, F.lit(0)) > 0)).alias("text_diff"), (has("svg") | src.isin("svg_only", "mixed") | (F.coalesce(graphic_name, F.lit("")) != "")).alias("graphic_diff"))
+
+
+def weak_evidence(evidence: Column, diff: float, target: float, template: float, component: float) -> Column:
+    """Whether local evidence (valid, diff_ratio, unmatched_target_ratio, unmatched_template_ratio, largest_component_ratio) is too weak to show; missing parts count as 1."""
+    part = lambda n: F.coalesce(evidence[n], F.lit(1.0))
+    low = (part("diff_ratio") <= diff) & (part("unmatched_target_ratio") <= target) & (part("unmatched_template_ratio") <= template) & (part("largest_component_ratio") <= component)
+    return F.coalesce(evidence["valid"], F.lit(False)) & low
+
+
+def weak_graphic(evidence: Column) -> Column:
+    return weak_evidence(evidence, 0.08, 0.08, 0.10, 0.04)
+
+
+def weak_text(evidence: Column, field: Column) -> Column:
+    """As above for text; the caption of the air volume, whose raised figure is small, is shown from 0.009 on."""
+    top = F.greatest(*[F.coalesce(evidence[n], F.lit(0.0)) for n in ("diff_ratio", "unmatched_template_ratio", "unmatched_target_ratio")])
+    return weak_evidence(evidence, 0.05, 0.05, 0.07, 0.045) & ~((field == "label:air_volume") & (top >= 0.009))
+
+
+def strong_value_evidence(evidence: Column, raw_diff: Column) -> Column:
+    """Whether a value that reads the same still differs to the eye."""
+    part = lambda n: F.coalesce(evidence[n], F.lit(0.0))
+    unmatched = F.greatest(part("unmatched_template_ratio"), part("unmatched_target_ratio"))
+    return F.coalesce(evidence["valid"], F.lit(False)) & (raw_diff >= 0.025) & (part("diff_ratio") >= 0.12) & (part("largest_component_ratio") >= 0.045) & (unmatched >= 0.12)
+
+
+def reviewed(predicted: Column, manual: Column) -> Column:
+    """Whether a person has judged anything in an annotation."""
+    return F.exists(predicted, lambda b: b["decision"].isin("true_positive", "false_positive")) | (F.size(manual) > 0)
 
 
 def roll_up(evaluations: DataFrame) -> DataFrame:

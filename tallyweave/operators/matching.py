@@ -173,15 +173,34 @@ def match_regions(left: DataFrame, right: DataFrame, case: list[str], most: floa
     return by_case(slim, case, [F.col("l_idx"), F.col("r_idx")], take, slim.schema)
 
 
-def match_positions(left: DataFrame, right: DataFrame, case: list[str], most_dx: float, most_dy: float, most_cost: float = 0.16) -> DataFrame:
-    """One-to-one matches of items (idx, cx, cy, w, h in parts of the image) by least distance, within gates; ties go by place."""
+def match_positions(left: DataFrame, right: DataFrame, case: list[str], most_cost: float = 0.16) -> DataFrame:
+    """One-to-one matches of items (idx, cx, cy, w, h in parts of the image) by least distance, within gates that grow with the items; ties go by place."""
     side = lambda df, p: df.select(*case, *[F.col(c).alias(f"{p}_{c}") for c in ("idx", "cx", "cy", "w", "h")])
     gap = lambda c: F.abs(F.col(f"l_{c}") - F.col(f"r_{c}"))
-    near = side(left, "l").join(side(right, "r"), case).filter((gap("cx") <= most_dx) & (gap("cy") <= most_dy))
-    near = near.withColumn("cost", gap("cx") + gap("cy") + 0.5 * (gap("w") + gap("h"))).filter(F.col("cost") <= most_cost)
+    most = lambda c, least, part: F.greatest(F.lit(least), F.greatest(f"l_{c}", f"r_{c}") * part)
+    near = side(left, "l").join(side(right, "r"), case).filter((gap("cy") <= most("h", 0.035, 0.95)) & (gap("cx") <= most("w", 0.10, 0.90)))
+    near = near.withColumn("cost", gap("cy") * 1.8 + gap("cx") + gap("w") * 0.35 + gap("h") * 0.25).filter(F.col("cost") <= most_cost)
     return greedy(near.select(*case, "l_idx", "r_idx", "cost"), case, [F.col("cost"), F.col("l_idx"), F.col("r_idx")])
 
 
+def compare_sets(left: DataFrame, right: DataFrame, case: list[str], least: float = 0.5) -> DataFrame:
+    """In order of the left boxes, the right box of greatest IoU not yet used, kept from ``least`` on; the earlier at a tie."""
+    pairs = box_pairs(left, right, case).select(*case, "l_idx", "r_idx", "iou")
+    k = len(case)
+
+    def take(rows: list[tuple]) -> list[tuple]:
+        used, served, kept = set(), set(), []
+        for r in rows:
+            if r[k] not in served and r[k + 1] not in used:
+                served.add(r[k])
+                if r[k + 2] >= least:
+                    used.add(r[k + 1])
+                    kept.append(r)
+        return kept
+
+    return by_case(pairs, case, [F.col("l_idx"), F.col("iou").desc(), F.col("r_idx")], take, pairs.schema)
+
+
 def nearest_line(candidates: DataFrame, lines: DataFrame, case: list[str], overlap: float = 0.2, row_overlap: float = 0.5, most_gap: float = 80.0) -> DataFrame:
     """For each candidate (idx, box, cx, cy) the line (idx, box) it lies on: a line that holds its middle before one that overlaps it, before one of the same row nearby; the earlier line at a tie."""
     pairs = overlapping(candidates, lines, case, lambda a, b: F.lit(True))

@@ -81,7 +81,12 @@ def position_match(spark, sf_dir) -> DataFrame:
         return _unit(rows).select("l_orderkey", "idx", ((b["x1"] + b["x2"]) / 2).alias("cx"), ((b["y1"] + b["y2"]) / 2).alias("cy"), (b["x2"] - b["x1"]).alias("w"), (b["y2"] - b["y1"]).alias("h"))
 
     e, p = sides(line_boxes(spark, sf_dir))
-    return matching.match_positions(items(e), items(p), CASE, 0.2, 0.2).select("l_orderkey", "l_idx", "r_idx", "cost")
+    return matching.match_positions(items(e), items(p), CASE).select("l_orderkey", "l_idx", "r_idx", "cost")
+
+
+def region_sets(spark, sf_dir) -> DataFrame:
+    """Two region sets of a case matched in order."""
+    return matching.compare_sets(*sides(line_boxes(spark, sf_dir)), CASE, 0.2)
 
 
 def nearest_line(spark, sf_dir) -> DataFrame:
@@ -205,6 +210,7 @@ QUERIES = {
     "region_assignment": (region_assignment, None),
     "region_costs": (region_costs, f"WITH {BOXES_SQL} SELECT l_orderkey, e.idx AS l_idx, p.idx AS r_idx, round({_COST}, 9) AS cost FROM e JOIN p USING (l_orderkey)"),
     "position_match": (position_match, None),
+    "region_sets": (region_sets, None),
     "nearest_line": (nearest_line, f"""WITH {BOXES_SQL}, s AS (SELECT a.l_orderkey, a.idx AS l_idx, b.idx AS r_idx,
             CASE WHEN a.cx BETWEEN b.x1 AND b.x2 AND a.cy BETWEEN b.y1 AND b.y2 THEN 10 + {_S} / a.area
                  WHEN {_S} / a.area >= 0.2 THEN 1 + {_S} / a.area

@@ -4,9 +4,9 @@ import __spark_entry__
 import duckdb
 import pytest
 
-from tallyweave.plans import boxes, records
+from tallyweave.plans import boxes, items, records
 
-QUERIES = {k: v for m in (records, boxes) for k, v in m.QUERIES.items()}
+QUERIES = {k: v for m in (records, boxes, items) for k, v in m.QUERIES.items()}
 
 
 @pytest.fixture(scope="module")
