@@ -2,11 +2,16 @@
 
 Each stage takes all rows that the one before kept, and is written and read again before the next.
 The first four return the columns of ``documents``; the last returns the pieces of sequences.
+
+A stage's result reads tables that the stage has left in the shared folder. They go when the next stage begins, since the result has been
+written by then: a result must be written before another stage is called, as ``run`` does.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +48,30 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
+_left: list[str] = []
+
+
+def _tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, clearing what stages before it have left."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            shared.delete_path(spark, _left.pop())
+        shared.taken()
+        out = stage(spark, docs, sf_dir)
+        _left.extend(shared.taken())
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", keep_quality),
-    ("near_copies", drop_near_copies),
-    ("benchmark", cut_benchmark),
-    ("secrets", redact_secrets),
-    ("packing", pack_sequences),
+    ("quality", _tidy(keep_quality)),
+    ("near_copies", _tidy(drop_near_copies)),
+    ("benchmark", _tidy(cut_benchmark)),
+    ("secrets", _tidy(redact_secrets)),
+    ("packing", _tidy(pack_sequences)),
 ]
 
 #: SQL cannot express a trained classifier, a suffix automaton or a tokenizer.
@@ -59,5 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = stage(spark, docs, sf_dir)
+        docs = shared.written(out, name, f"{shared.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}")
     return docs

@@ -33,9 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_taken: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is written there is needed until the result that reads it has been used."""
+    _taken.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _taken[-1]
+
+
+def taken() -> list[str]:
+    """The paths given out since this was last asked."""
+    out = list(_taken)
+    _taken.clear()
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -44,9 +55,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder."""
-    at = fresh_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The same rows, read back from a Parquet table in the shared folder (or at ``path``)."""
+    at = path or fresh_path(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

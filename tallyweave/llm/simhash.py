@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared
@@ -197,15 +198,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each group of near duplicates: the one of the least id (nulls last), then the first by text and place. All columns stay."""
+    """One row of each group of near duplicates: the one of the least id (nulls last). All columns stay.
+
+    Rows of one id and one text count as one, whichever is kept; of different texts of the least id
+    one is kept by a hash. What is shuffled of the texts is one exchange for the last join, by a key that is all but unique.
+    """
     shared.arrow_batches(docs.sparkSession)
-    rid, fp = shared.free_name(docs.columns, "rid"), shared.free_name(docs.columns, "fp")
-    rows = shared.written(docs.select("*", F.monotonically_increasing_id().alias(rid), fingerprints(F.col(text), shingle).alias(fp)), "simhash-docs")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))
-    firsts = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first"))
-    of = classes(firsts, "first", max_bits)
-    kept = of.select(F.col("class.rid").alias(rid)).distinct()
-    return rows.join(kept, rid, "left_semi").drop(rid, fp)
+    names = docs.columns
+    k1, k2, n = (shared.free_name(names, c) for c in ("key1", "key2", "place"))
+    key = [F.xxhash64(F.lit(i), F.col(id_col).isNull(), F.col(id_col), F.col(text)).alias(c) for i, c in ((1, k1), (2, k2))]
+    rows = shared.written(docs.select(F.col(id_col).alias("id"), key[0].alias("k1"), key[1].alias("k2"), fingerprints(F.col(text), shingle).alias("fp")), "simhash-rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2"))
+    of = classes(rows.groupBy("fp").agg(first.alias("first")), "first", max_bits)
+    kept = shared.written(of.select(F.col("class.k1").alias(k1), F.col("class.k2").alias(k2)).distinct(), "simhash-kept")
+    out = docs.select("*", *key).join(kept.hint("merge"), [k1, k2], "left_semi")  # alike at every size
+    one = F.row_number().over(W.partitionBy(k1, k2).orderBy(k1))  # rows that repeat id and text
+    return out.withColumn(n, one).filter(F.col(n) == 1).select(*names)
 
 
 def hex_print(fp: Column) -> Column:
