@@ -33,6 +33,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,16 +56,30 @@ END = b" "  # no word holds a blank
 _U = np.uint64
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII blanks, ASCII capitals made small."""
-    return (text or "").encode().lower().split()
-
-
 def hash_words(words) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     return np.array([digest(w) for w in words], _U)
 
 
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words, END last; the number of each token's word, text after text; how many tokens each text has).
+
+    Words stand between ASCII blanks, ASCII capitals made small; an end token follows each text's words.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+    blank = pc.index(words, "").as_py()  # what stands before a first and after a last blank
+    if blank >= 0:
+        keep = code != blank
+        code, text = code[keep], text[keep]
+    n = np.bincount(text, minlength=len(texts)) + 1
+    out = np.full(len(code) + len(texts), len(words), np.int64)
+    out[np.arange(len(code)) + text] = code
+    return hash_words([*words.to_numpy(zero_copy_only=False), END]), out, n
+
+
 # ---- files of arrays -------------------------------------------------------------------------------------
 
 
@@ -266,19 +281,11 @@ class Model:
 
     # texts
 
-    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(lengths, ids, counts, place in text) of all tokens of the texts, end tokens included, one after the other."""
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(lengths, ids, counts, place in text) of all tokens of the texts, one after the other."""
         shared.claim("ngram_trie")
-        index = _Index()
-        get, rows = index.__getitem__, []
-        get(END)
-        for t in texts:
-            words = words_of(t)
-            words.append(END)
-            rows.append(np.fromiter(map(get, words), np.int64, len(words)))
-        lengths = np.array([len(r) for r in rows], np.int64)
-        local = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        ids, counts = self.find_words(hash_words(index))
+        hashes, local, lengths = tokens(texts)
+        ids, counts = self.find_words(hashes)
         place = np.arange(len(local)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         return lengths, ids[local], counts[local], place
 
@@ -307,14 +314,6 @@ class Model:
         return steps, nodes
 
 
-class _Index(dict):
-    """word -> number in order of first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        return k
-
-
 def _shard(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
@@ -401,22 +400,25 @@ def _build_words(texts: DataFrame, model: Model) -> Model:
     bits = max(0, (partitions - 1).bit_length() - 2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        seen: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = summed(hash_words(seen), np.fromiter(seen.values(), np.int64, len(seen)))
+            keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
             yield from _rows(keys, counts, np.searchsorted(_shard(keys, bits), np.arange((1 << bits) + 1)))
-            seen.clear()
 
         for b in batches:
-            for t in b.column("text").to_pylist():
-                seen.update(words_of(t))
-            seen[END] += b.num_rows
-            if len(seen) > FLUSH // 4:
+            if not b.num_rows:
+                continue
+            hashes, local, _ = tokens(b.column("text"))
+            counts = np.bincount(local, minlength=len(hashes))
+            some = counts > 0
+            held.append((hashes[some], counts[some]))
+            size += int(some.sum())
+            if size > FLUSH // 2:
                 yield from flush()
-        if seen:
+                held, size = [], 0
+        if held:
             yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +471,9 @@ def _build_level(spark: SparkSession, texts: DataFrame, model: Model, n: int, se
             yield from _rows(k, c, np.searchsorted(k, np.append(bounds, np.uint64(2**64 - 1))))
 
         for b in batches:
-            _, ids, own, place = model.read(b.column("text").to_pylist())
+            if not b.num_rows:
+                continue
+            _, ids, own, place = model.read(b.column("text"))
             nodes = ids if n == 2 else model.steps(ids, own, place, n - 1)[1]
             context = np.empty_like(nodes)
             context[1:], context[:1] = nodes[:-1], -1
@@ -578,7 +582,7 @@ def scores(spark: SparkSession, model: Model, text: Column) -> Column:
             if not len(batch):
                 yield pa.array([], pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
                 continue
-            lengths, ids, counts, place = model.read(batch.to_pylist())
+            lengths, ids, counts, place = model.read(batch)
             steps, _ = model.steps(ids, counts, place, order)
             heads = np.cumsum(lengths) - lengths
             base = np.add.reduceat(np.log10(model.p1(counts)), heads)
