@@ -379,7 +379,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
 
 
 def _by_part(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.repartition(max(1, parts), "part").sortWithinPartitions("part")
+    """The rows of each part in a task of its own."""
+    return rows.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("part")
 
 
 # ---- building --------------------------------------------------------------------------------------------
