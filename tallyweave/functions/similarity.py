@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -188,6 +188,7 @@ def lenient_match(field: Column, expected: Column, read: Column) -> Column:
     return fields_match(field, expected, read) | all_words | names | ((a != "") & (b != "") & F.contains(b, a))
 
 
+@lru_cache(maxsize=100_000)
 def find_caption(field: str, raw: str) -> tuple[str, int, float] | None:
     """(caption, 1 if by pattern else 0, score) of a field's caption in a text, or null: by its pattern, else by likeness to one of its names."""
     if field in CAPTION_PATTERNS:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -43,7 +44,9 @@ def by_case(rows: DataFrame, case: list[str], order: list[Column], rule: Callabl
         if out:
             yield _frame(out, names, whole)
 
-    return rows.repartition(*case).sortWithinPartitions(*case, *order).mapInPandas(run, schema)
+    # by a hash of the case: an exchange by the case itself would be left out where the input seems to be dealt
+    # so already, and adaptive execution may then read that input in pieces that split a case
+    return rows.repartition(F.xxhash64(*case)).sortWithinPartitions(*case, *order).mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple], names: list[str], whole: list[int]) -> pd.DataFrame:

@@ -113,7 +113,7 @@ def box_components(spark, sf_dir) -> DataFrame:
 
 def merged_boxes(spark, sf_dir) -> DataFrame:
     grouped = merging.component_of(line_boxes(spark, sf_dir), CASE, lambda a, b: merging.near(a, b, 6))
-    r = lambda c, n: F.round(c, 6).alias(n)
+    r = lambda c, n: F.round(F.col(c) + 1e-9, 6).alias(n)  # noqa: E731  engines differ on halves
     out = merging.merged(grouped, CASE)
     return out.select("l_orderkey", F.col("component").cast("long").alias("component"), *[F.col(f"box.{s}").alias(s) for s in boxes.SIDES], r("area", "area"), r("density", "density"), r("cx", "cx"), r("cy", "cy"), "child_count")
 
@@ -172,7 +172,7 @@ def largest_boxes(spark, sf_dir) -> DataFrame:
 def region_offsets(spark, sf_dir) -> DataFrame:
     e, p = sides(line_boxes(spark, sf_dir))
     out = evaluate.region_offsets(matching.box_pairs(e, p, CASE), CASE)
-    return out.select("l_orderkey", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "sx", "sy")])
+    return out.select("l_orderkey", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("dx", "dy", "sx", "sy")])
 
 
 _NEAR = "greatest(0, a.x1 - b.x2, b.x1 - a.x2) <= 6 AND greatest(0, a.y1 - b.y2, b.y1 - a.y2) <= 4"
@@ -224,9 +224,9 @@ QUERIES = {
         SELECT 1 FROM pairs s WHERE s.l_orderkey = e.l_orderkey AND s.l_idx = e.idx AND (iou >= 0.15 OR expected_coverage >= 0.5))"""),
     "box_components": (box_components, f"WITH RECURSIVE {_components(_NEAR)} SELECT * FROM comp"),
     "merged_boxes": (merged_boxes, f"""WITH RECURSIVE {_components(_NEAR)} SELECT l_orderkey, component, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2,
-        round(sum(area), 6) AS area, round(sum(area) / greatest((max(x2) - min(x1)) * (max(y2) - min(y1)), 1), 6) AS density,
-        round(CASE WHEN sum(area) > 0 THEN sum(cx * area) / sum(area) ELSE (min(x1) + max(x2)) / 2 END, 6) AS cx,
-        round(CASE WHEN sum(area) > 0 THEN sum(cy * area) / sum(area) ELSE (min(y1) + max(y2)) / 2 END, 6) AS cy, count(*) AS child_count
+        round(sum(area) + 1e-9, 6) AS area, round(sum(area) / greatest((max(x2) - min(x1)) * (max(y2) - min(y1)), 1) + 1e-9, 6) AS density,
+        round(CASE WHEN sum(area) > 0 THEN sum(cx * area) / sum(area) ELSE (min(x1) + max(x2)) / 2 END + 1e-9, 6) AS cx,
+        round(CASE WHEN sum(area) > 0 THEN sum(cy * area) / sum(area) ELSE (min(y1) + max(y2)) / 2 END + 1e-9, 6) AS cy, count(*) AS child_count
         FROM comp JOIN b USING (l_orderkey, idx) GROUP BY l_orderkey, component"""),
     "representative_boxes": (representative_boxes, f"""WITH RECURSIVE {_components(_DISPLAY)}, m AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, component ORDER BY area DESC, idx) AS n FROM comp JOIN b USING (l_orderkey, idx))
         SELECT l_orderkey, component, max(CASE WHEN n = 1 THEN idx END) AS idx, max(CASE WHEN n = 1 THEN kind END) AS kind, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM m GROUP BY l_orderkey, component"""),
@@ -251,5 +251,5 @@ QUERIES = {
     "largest_boxes": (largest_boxes, f"WITH {BOXES_SQL}, r AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY area DESC, idx) AS INT) AS rank, idx FROM b) SELECT * FROM r WHERE rank <= 2"),
     "region_offsets": (region_offsets, f"""WITH {PAIRS_SQL}, m AS (SELECT l_orderkey, p.cx - e.cx AS dx, p.cy - e.cy AS dy, (p.x2 - p.x1) / (e.x2 - e.x1) AS sx, (p.y2 - p.y1) / (e.y2 - e.y1) AS sy
             FROM pairs s JOIN e USING (l_orderkey) JOIN p USING (l_orderkey) WHERE e.idx = s.l_idx AND p.idx = s.r_idx)
-        SELECT l_orderkey, round(median(dx), 6) AS dx, round(median(dy), 6) AS dy, round(greatest(0.5, least(1.8, median(sx))), 6) AS sx, round(greatest(0.5, least(1.8, median(sy))), 6) AS sy FROM m GROUP BY l_orderkey"""),
+        SELECT l_orderkey, round(median(dx) + 1e-9, 6) AS dx, round(median(dy) + 1e-9, 6) AS dy, round(greatest(0.5, least(1.8, median(sx))) + 1e-9, 6) AS sx, round(greatest(0.5, least(1.8, median(sy))) + 1e-9, 6) AS sy FROM m GROUP BY l_orderkey"""),
 }

@@ -170,3 +170,14 @@ def test_offsets(spark):
     assert tuple(off.first()) == (1, 10, 7, 1, 1.8)
     lone = spark.createDataFrame([(2, (1.0, 1.0, 3.0, 3.0))], "case_id int, box struct<x1:double,y1:double,x2:double,y2:double>")
     assert tuple(evaluate.inferred(lone, off, ["case_id"]).first()["inferred"]) == (1, 1, 3, 3)
+
+
+def test_cases_stay_whole_behind_a_join(spark):
+    """Adaptive execution may turn the join before a per-case pass into a broadcast one and read its input in pieces."""
+    from tallyweave.operators.cases import by_case
+
+    left = spark.range(40_000).select((F.col("id") % 2_000).alias("case_id"), F.col("id").alias("v")).repartition(8)
+    right = spark.range(2_000).select(F.col("id").alias("case_id")).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    both = left.join(right, "case_id").unionByName(left.withColumn("n", F.lit(0).cast("long")))
+    out = by_case(both, ["case_id"], [F.col("v")], lambda rows: [(rows[0][0], len(rows))], "case_id long, n long")
+    assert {tuple(r) for r in out.collect()} == {(i, 40) for i in range(2_000)}
