@@ -164,3 +164,33 @@ def test_payloads_and_sinks(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/r").count() == 2
     documents.write_manifest(spark.createDataFrame([(1, "x", 2)], "a int, b string, c int"), f"{tmp_path}/m", ["b", "a"])
     assert spark.read.csv(f"{tmp_path}/m", header=True).columns == ["b", "a"]
+
+
+def streamed(spark, tmp_path, parts, schema, make, name):
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return {tuple(r) for r in spark.table(name).collect()}
+
+
+def test_emission_stream(spark, tmp_path):
+    parts = [[("a", 0.0, "ok"), ("b", 1.0, "dim"), ("a", 4.0, "ok")], [("a", 9.0, "dim"), ("b", 12.0, "dim")], [("a", 10.0, "dim")]]
+    got = streamed(spark, tmp_path, parts, "device string, at double, level string", lambda s: events.emitted_stream(s, 10.0), "emitted")
+    assert got == {("a", 0.0, "ok"), ("b", 1.0, "dim"), ("a", 9.0, "dim"), ("b", 12.0, "dim")}
+
+
+def test_busy_stream(spark, tmp_path):
+    parts = [[("a", 0.0, 5.0), ("a", 1.0, 9.0)], [("a", 4.0, 1.0), ("a", 5.0, 2.0)]]
+    got = streamed(spark, tmp_path, parts, "device string, at double, lasts double", events.accepted_stream, "accepted")
+    assert got == {("a", 0.0, 5.0), ("a", 5.0, 2.0)}
+
+
+def test_new_results(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/r.json").write_text(json.dumps({"code": "c", "verdict": "ok"}, indent=2))
+    seen = []
+    q = events.new_results(spark, f"{tmp_path}/in", "code string, verdict string", lambda batch, _: seen.extend(tuple(r) for r in batch.collect()), f"{tmp_path}/cp")
+    assert q.awaitTermination(60) and seen == [("c", "ok")]
