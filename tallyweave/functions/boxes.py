@@ -231,6 +231,13 @@ def fragment_class(b: Column, min_area: float, min_side: float, min_ratio: float
     return F.when(w * h < min_area, "small_area").when(F.least(w, h) < min_side, "small_side").when(F.least(w, h) < F.greatest(w, h) * min_ratio, "thin_sliver")
 
 
+def child_class(child: Column, parent: Column, area_part: float, min_side: float, sliver_aspect: float, sliver_part: float) -> Column:
+    """Why a fragment of a split region is passed over, by its own and its parent's measures; null where it is kept or has no parent."""
+    c, p = metrics(child), metrics(parent)
+    sliver = (c["aspect"] >= sliver_aspect) & (c["h"] < p["h"] * sliver_part)
+    return F.when(parent.isNull(), None).when(c["area"] < p["area"] * area_part, "small_child_area").when(F.least(c["w"], c["h"]) < min_side, "small_child_side").when(sliver, "thin_sliver")
+
+
 def brightness_class(mean: Column, p95: Column) -> Column:
     return F.when((mean < 85) | (p95 < 115), "too_dark").when((mean < 115) | (p95 < 145), "dim").otherwise("ok")
 

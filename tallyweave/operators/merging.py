@@ -186,6 +186,31 @@ def merge_parts(rows: DataFrame, case: list[str], crop_w: float, crop_h: float)
     return by_case(slim, case, [], run, slim.schema)
 
 
+def same_sign(parent: Box, a: Box, b: Box) -> bool:
+    """Fragments of one sign of a split region: one above the other in a column, a small one close by, or two alike and narrow with a wider gap."""
+    size = lambda t: (max(t[2] - t[0], 1.0), max(t[3] - t[1], 1.0))
+    (wa, ha), (wb, hb), (wp, hp) = size(a), size(b), size(parent)
+    column, gap = _share(a[0], a[2], b[0], b[2]), _apart(a[1], a[3], b[1], b[3])
+    alike = min(wa * ha, wb * hb) / max(wa * ha, wb * hb)
+    close = column >= 0.6 and gap <= max(14.0, hp * 0.14) and alike <= 0.7
+    stacked = column >= 0.55 and gap <= max(14.0, hp * 0.65) and alike >= 0.4 and max(wa, wb) <= wp * 0.45
+    return close or stacked
+
+
+def merge_siblings(regions: DataFrame, case: list[str]) -> DataFrame:
+    """(parent corners, box) of the fragments of each parent (regions with box and parent_box) joined by ``same_sign`` until stable; regions without a parent are passed over."""
+    sides = [F.col(f"parent_box.{s}").alias(f"p_{s}") for s in boxes.SIDES]
+    slim = regions.filter("parent_box IS NOT NULL").select(*case, *sides, *[F.col(f"box.{s}").alias(s) for s in boxes.SIDES])
+    k = len(case)
+
+    def run(held: list[tuple]) -> list[tuple]:
+        parent = held[0][k : k + 4]
+        grown = grow_until_stable([r[k + 4 :] for r in held], lambda a, b: same_sign(parent, a, b))
+        return [(*held[0][: k + 4], *b) for b in grown]
+
+    return by_case(slim, [*case, *(f"p_{s}" for s in boxes.SIDES)], [], run, slim.schema)
+
+
 def review_groups(rows: DataFrame, case: list[str], image_w: float, image_h: float) -> DataFrame:
     """rows (idx, x1, y1, x2, y2) with ``review_group``."""
     slim, k = rows.select(*case, "idx", *[F.col(s).cast("double").alias(s) for s in boxes.SIDES]), len(case)

@@ -38,6 +38,26 @@ def preferred(templates: DataFrame, by: list[str], order: list[Column]) -> DataF
     return templates.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def catalogue(files: DataFrame, suffixes: tuple[str, ...] = (".pdf", ".png", ".jpg", ".jpeg")) -> DataFrame:
+    """The templates among files (path, stem, suffix) that have a code: variant (null for the plain one), kind, and whether each is its code's default. In order of code, the default first."""
+    some = with_codes(files.filter(F.lower("suffix").isin(*suffixes))).filter("code IS NOT NULL")
+    out = some.select(
+        "code",
+        F.nullif(text.variant_of(F.col("stem"), F.col("code")), F.lit("")).alias("variant"),
+        F.when(F.lower("suffix") == ".pdf", "pdf").otherwise("image").alias("source_type"),
+        (F.col("stem") == F.col("code")).alias("is_default"),
+        "stem",
+        "path",
+    )
+    return out.orderBy("code", F.col("is_default").desc(), F.coalesce("variant", F.lit("")), "source_type", "stem")
+
+
+def find_by_code(templates: DataFrame, code: str) -> DataFrame:
+    """Templates of a code as it was typed or scanned; none for a blank one."""
+    wanted = code.strip()
+    return templates.filter(F.col("code") == wanted) if wanted else templates.limit(0)
+
+
 def pair(templates: DataFrame, targets: DataFrame, key: str, only: list[str] | None = None) -> DataFrame:
     """All pairs of one key: columns of both, the key once."""
     if only:

@@ -158,6 +158,17 @@ def test_passes_that_depend_on_order():
     assert merging.accept_in_order(items) == ["kept", "overlap", "no_evidence", "kept"]
 
 
+def test_siblings(spark):
+    b = "struct<x1:double,y1:double,x2:double,y2:double>"
+    parent = (0.0, 0.0, 100.0, 100.0)
+    rows = [(1, (10.0, 0.0, 30.0, 30.0), parent), (1, (10.0, 34.0, 30.0, 38.0), parent), (1, (70.0, 0.0, 90.0, 30.0), parent), (1, (5.0, 5.0, 6.0, 6.0), None)]
+    df = spark.createDataFrame(rows, f"case_id int, box {b}, parent_box {b}")
+    got = {(r["x1"], r["y1"], r["x2"], r["y2"]) for r in merging.merge_siblings(df, ["case_id"]).collect()}
+    assert got == {(10, 0, 30, 38), (70, 0, 90, 30)}
+    why = [r["w"] for r in df.select(boxes.child_class(F.col("box"), F.col("parent_box"), 0.01, 5.0, 4.0, 0.2).alias("w")).collect()]
+    assert why == [None, "small_child_area", None, None]
+
+
 def test_band(spark):
     rows = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.895), (1, 2, 0.88), (2, 0, 1.0), (2, 1, 0.995), (3, 0, 0.5)], "case_id int, idx int, score double")
     got = {(r["case_id"], r["idx"]) for r in matching.best_band(rows, ["case_id"], "score", 0.88).collect()}

@@ -34,6 +34,12 @@ def test_preference(spark):
     assert pairing.cases(t, g, best=True).first()["template_path"] == "/in/123456-a.pdf"
 
 
+def test_catalogue(spark):
+    got = pairing.catalogue(assets(spark, ["123456-b.pdf", "123456.PNG", "123456_a.pdf", "x.pdf", "123456.txt", "000123456.pdf"]))
+    assert [(r["code"], r["variant"], r["source_type"], r["is_default"]) for r in got.collect()] == [("000123456", None, "pdf", True), ("123456", None, "image", True), ("123456", "a", "pdf", False), ("123456", "b", "pdf", False)]
+    assert pairing.find_by_code(got, " 123456 ").count() == 3 and pairing.find_by_code(got, " ").count() == 0
+
+
 def test_left_over(spark):
     a, b = (spark.createDataFrame([(v,) for v in vs], "code string") for vs in (["1", "2", "2"], ["2", "3"]))
     assert {tuple(r) for r in pairing.unmatched(a, b, "code").collect()} == {("1", "left"), ("3", "right")}
