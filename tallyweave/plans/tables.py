@@ -25,7 +25,7 @@ def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
     x1, y1 = F.col("l_quantity"), F.col("l_discount") * 100
     b = boxes.box(x1, y1, x1 + F.col("l_linenumber"), y1 + F.col("l_tax") * 100 + 1)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", idx.alias("idx"), b.alias("box"), F.when(F.col("l_returnflag") == "N", "text").otherwise("svg").alias("kind"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", idx.cast("long").alias("idx"), b.alias("box"), F.when(F.col("l_returnflag") == "N", "text").otherwise("svg").alias("kind"))
     return rows.select("*", boxes.area(F.col("box")).alias("area"), ((F.col("box.x1") + F.col("box.x2")) / 2).alias("cx"), ((F.col("box.y1") + F.col("box.y2")) / 2).alias("cy"))
 
 
