@@ -16,7 +16,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontaminate, packing, quality, secrets, shared, simhash
+from tallyweave.llm import decontaminate, near_copies, packing, quality, secrets, shared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies stays."""
-    return simhash.dedup(docs, max_bits=3)
+    """One document of each group of exact and near copies stays: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    return near_copies.dedup(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,7 +173,13 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(prints: DataFrame, first: str, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, class) for distinct fingerprints: class is the least ``first`` of the component's fingerprints."""
     prints = shared.written(prints.select("fp", F.col(first).alias("first")), "simhash-prints")
-    of = components(links(prints, max_bits))
+    return grouped(prints, links(prints, max_bits), "first")
+
+
+def grouped(prints: DataFrame, edges: DataFrame, first: str) -> DataFrame:
+    """(fp, class) as ``classes`` gives it, of links that are known; prints is a written table."""
+    prints = prints.select("fp", F.col(first).alias("first"))
+    of = components(edges)
     seen = of.withColumnRenamed("node", "fp").unionByName(of.select(F.col("root").alias("fp"), "root").distinct())
     seen = shared.written(seen.join(prints, "fp"), "simhash-seen")
     low = shared.written(seen.groupBy("root").agg(F.min("first").alias("class")), "simhash-least")
