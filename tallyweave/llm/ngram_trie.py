@@ -152,6 +152,11 @@ def _stored(name: str, values: np.ndarray, universe: int, header: dict, arrays:
     arrays |= {f"{name}.high": high, f"{name}.ones": ones, f"{name}.lows": lows}
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers, none below nought, in as few bytes as hold the largest."""
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
 def quantise(p: np.ndarray) -> np.ndarray:
     """Steps below log10 1, rounded down in probability."""
     return np.minimum(np.ceil(-np.log10(p) / STEP - 1e-9), 65535).astype("<u2")
@@ -190,7 +195,7 @@ class Model:
         return f"{self.path}/words/{shard:06d}"
 
     def segment_path(self, n: int, segment: int, kind: str) -> str:
-        return f"{self.path}/level{n}/{segment:06d}.{kind}"
+        return f"{self.path}/level{n}-{kind}/{segment:06d}"
 
     # level 1
 
@@ -268,7 +273,7 @@ class Model:
             here = segment == s
             arrays = _mapped(self.segment_path(n, s, "cnt"))[1]
             at = nodes[here] - level.bases[s]
-            counts[here], last[here] = arrays["count"][at], (arrays["key"][at] & _U(0xFFFFFFFF)).astype(np.int64)
+            counts[here], last[here] = arrays["count"][at], arrays["word"][at]
         return counts, last
 
     def given_word(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -393,6 +398,8 @@ def build(spark: SparkSession, texts: DataFrame, path: str, order: int = ORDER,
         if not model.tokens:
             break
         model = _build_level(spark, texts, model, n, segment_tokens)
+        for done in [n - 1] * (n > 2) + [n] * (n == order):
+            shared.delete_path(spark, f"{path}/level{done}-cnt")
     return model
 
 
@@ -495,7 +502,7 @@ def _build_level(spark: SparkSession, texts: DataFrame, model: Model, n: int, se
         for part, keys, counts in _merged(batches):
             keep = counts >= model.min_count
             keys, counts = keys[keep], counts[keep]
-            shared.put_file(model.segment_path(n, part, "cnt"), pack_arrays({}, {"key": keys.astype("<u8"), "count": counts.astype("<u8")}))
+            shared.put_file(model.segment_path(n, part, "cnt"), _counted(keys, counts))
             ends = []  # what a segment holds of its first and its last context: others may hold more of them
             for c in {int(k) >> 32 for k in (keys[:1].tolist() + keys[-1:].tolist())}:
                 a, b = np.searchsorted(keys, np.array([c << 32, ((c + 1) << 32) - 1], _U), side="left")
@@ -523,17 +530,27 @@ def _build_level(spark: SparkSession, texts: DataFrame, model: Model, n: int, se
                 past = min((int(edges[part + 1]) - 1 >> 32) + 1, contexts)
                 shared.put_file(model.segment_path(n, part, "lvl"), _segment(model, n, part, first, past, masses, part in written))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], ["id"])
+        for path in [p for p in _open if "-cnt/" in p]:  # a mapped file keeps its room on disk when it is deleted
+            del _open[path]
 
     spark.range(0, len(bounds), 1, min(len(bounds), 4096)).mapInArrow(smooth, "id long").agg(F.count(F.lit(1))).collect()
     return grown
 
 
+def _counted(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The file of a segment's keys and counts, which only building needs."""
+    context = (keys >> _U(32)).astype(np.int64)
+    first = int(context[0]) if len(keys) else 0
+    return pack_arrays({"first": first}, {"step": narrow(np.diff(context, prepend=first)), "word": (keys & _U(0xFFFFFFFF)).astype("<u4"), "count": narrow(counts)})
+
+
 def _segment(model: Model, n: int, part: int, first: int, past: int, masses: dict[int, float], written: bool) -> bytes:
     """A segment's file: pointers, children, steps of their probabilities, and back-off steps of its contexts [first, past)."""
-    arrays = _mapped(model.segment_path(n, part, "cnt"))[1] if written else {"key": np.zeros(0, _U), "count": np.zeros(0, np.int64)}
-    keys, counts = arrays["key"], arrays["count"].astype(np.int64)
+    none = np.zeros(0, np.int64)
+    header, arrays = _mapped(model.segment_path(n, part, "cnt")) if written else ({"first": 0}, {"step": none, "word": none, "count": none})
+    word, counts = arrays["word"].astype(np.int64), arrays["count"].astype(np.int64)
+    context = np.cumsum(arrays["step"], dtype=np.int64) + header["first"]
     universe, size = model.words, max(past - first, 0)
-    context, word = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
     rel = context - first
     per = np.bincount(rel, minlength=size) if size else np.zeros(0, np.int64)
     mass = np.bincount(rel, counts - model.discount, minlength=size) if size else np.zeros(0)
@@ -549,7 +566,7 @@ def _segment(model: Model, n: int, part: int, first: int, past: int, masses: dic
             whole[some] = model.node_counts(n - 1, some + first)[0]
     weight = np.ones(size)
     weight[some] = np.maximum(1 - mass[some] / whole[some], 1e-9)
-    if len(keys):
+    if len(word):
         if n == 2:
             lower = model.p1(model.word_counts(word))
         else:  # the shorter context is the last word of the context
@@ -561,7 +578,7 @@ def _segment(model: Model, n: int, part: int, first: int, past: int, masses: dic
         p = np.zeros(0)
     header: dict = {"first": first, "universe": universe}
     arrays = {"steps": quantise(p), "backoff": quantise(weight)}
-    _stored("pointer", np.concatenate([[0], np.cumsum(per)]).astype(_U), len(keys) + 1, header, arrays)
+    _stored("pointer", np.concatenate([[0], np.cumsum(per)]).astype(_U), len(word) + 1, header, arrays)
     _stored("child", rel.astype(_U) * _U(universe) + word.astype(_U), max(1, size * universe), header, arrays)
     return pack_arrays(header, arrays)
 
