@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from . import shared, tokenize
 
 WINDOW = 1024
 QUANTUM = 128
-#: More sources than this share this many queues, by a hash of their names.
+#: Ranks of up to this many queues are summed queue by queue; of more, by classes of equal weight.
 MAX_QUEUES = 256
-#: Weights are whole numbers that sum to about this.
+#: Weights are whole numbers that sum to about this, or to the number of quanta where there are more.
 SCALE = 1 << 20
 #: Rows of (queue, partition) starts that may be broadcast; more are joined.
 BROADCAST_ROWS = 200_000
@@ -67,10 +68,39 @@ class Mixture:
         held = np.array(tokens, np.int64)
         share = np.array([targets.get(n, 0.0) for n in names]) if targets else held.astype(np.float64)
         total = share.sum() or 1.0
-        return Mixture(held, np.maximum(1, np.rint(share / total * SCALE)).astype(np.int64), window, quantum)
+        scale = max(SCALE, int(held.sum()) // quantum)
+        return Mixture(held, np.maximum(1, np.rint(share / total * scale)).astype(np.int64), window, quantum)
+
+    @cached_property
+    def classes(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each distinct weight: its queues in order, their quanta in rising order, and sums of these before each. Within a weight, quanta must not rise with the queues' order."""
+        order = np.argsort(self.weights, kind="stable")
+        out = []
+        for own in np.split(order, np.nonzero(np.diff(self.weights[order]))[0] + 1):
+            quanta = self.quanta[own]
+            if (np.diff(quanta) > 0).any():
+                raise ValueError("queues of one weight must come in falling order of what they hold")
+            out.append((int(self.weights[own[0]]), own, quanta[::-1].copy(), np.concatenate([[0], np.cumsum(quanta[::-1])])))
+        return out
+
+    def _ranks_by_class(self, queue: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """As ``ranks``, in steps of a class: of n queues of one weight, the same number of quanta falls due before, as far as each has them, and one more of those that tie and come first."""
+        out = np.zeros(len(j), np.int64)
+        own = self.weights[queue]
+        for weight, queues, quanta, sums in self.classes:
+            num = (2 * j + 1) * weight - own
+            before = np.maximum(-((-num) // (2 * own)), 0)
+            at = np.searchsorted(quanta, before)
+            out += sums[at] + before * (len(quanta) - at)
+            tie = np.nonzero((num >= 0) & (num % (2 * own) == 0))[0]
+            more = len(quanta) - np.searchsorted(quanta, before[tie] + 1)  # the first so many hold another
+            out[tie] += np.minimum(more, np.searchsorted(queues, queue[tie]))
+        return out
 
     def ranks(self, queue: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The place of the j-th quantum of each queue in the order of service."""
+        if len(self.weights) > MAX_QUEUES:
+            return self._ranks_by_class(queue, j)
         out = np.zeros(len(j), np.int64)
         step = max(1, CELLS // max(1, len(self.weights)))
         others = np.arange(len(self.weights))
@@ -111,8 +141,6 @@ def encode_queues(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
     spark = docs.sparkSession
     shared.arrow_batches(spark)
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    if docs.select(name.alias("q")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        name = F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), name.alias("queue"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,15 +195,18 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer_pat
     rows = encode_queues(docs, tokenizer_path, end_id, id_col, text, source)
     sums = shared.written(rows.groupBy("queue", "part").agg(F.sum("n").alias("tokens")), "packing-sums")
     starts = sums.select("queue", "part", (F.sum("tokens").over(W.partitionBy("queue").orderBy("part")) - F.col("tokens")).alias("base"))
-    totals = sorted((r["queue"], r["t"]) for r in sums.groupBy("queue").agg(F.sum("tokens").alias("t")).collect())  # at most MAX_QUEUES
+    totals = sorted((r["queue"], r["t"]) for r in sums.groupBy("queue").agg(F.sum("tokens").alias("t")).collect())  # one row for each source
+    if len(totals) > MAX_QUEUES:  # as classes of equal weight need them
+        totals.sort(key=lambda x: -x[1])
     names = [q for q, _ in totals]
     mix = Mixture.of(names, [t for _, t in totals], targets, window, quantum)
     small = sums.count() <= BROADCAST_ROWS
     placed = rows.join(F.broadcast(starts) if small else starts, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("local")).alias("begin"), "n", "ids")
-    numbers = {q: i for i, q in enumerate(names)}
+    sent = spark.sparkContext.broadcast((mix, {q: i for i, q in enumerate(names)}))
     dtype = tokenize.encoder(tokenizer_path).dtype.str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mix, numbers = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
