@@ -22,9 +22,9 @@ def _items(spark, sf_dir) -> DataFrame:
 
 
 def value_items(spark, sf_dir) -> DataFrame:
-    """For the first names of each brand, one letter lost, the items that give them."""
-    n = F.row_number().over(W.partitionBy("p_brand").orderBy("text", "idx"))
-    values = _items(spark, sf_dir).withColumn("n", n).filter("n <= 3").select("p_brand", F.concat(F.lit("name"), F.col("n").cast("string")).alias("field"), F.expr("left(text, length(text) - 1)").alias("value"))
+    """For every name of each brand, one letter lost, the items that give it."""
+    n = F.row_number().over(W.partitionBy("p_brand").orderBy("text"))
+    values = _items(spark, sf_dir).select("p_brand", "text").distinct().withColumn("n", n).select("p_brand", F.concat(F.lit("name"), F.col("n").cast("string")).alias("field"), F.expr("left(text, length(text) - 1)").alias("value"))
     return items.matching_items(values, _items(spark, sf_dir), CASE)
 
 
