@@ -7,10 +7,14 @@ checkpoint: a lost executor costs a re-read, not a recomputation, and lineage en
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _taken: list[str] = []
+_given: list[tuple] = []
+
+
+def _clean() -> None:
+    """Paths that are left when the driver ends go."""
+    for conf, path in _given:
+        with contextlib.suppress(Exception):  # the engine may be gone before
+            path.getFileSystem(conf).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. What is written there is needed until the result that reads it has been used."""
-    _taken.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder. What is written there is needed until the result that reads it has been used; it goes when the driver ends."""
+    if not _given:
+        atexit.register(_clean)
+    _given.append((spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")))
+    _taken.append(_given[-1][1].toString())
     return _taken[-1]
 
 
@@ -55,10 +70,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def partitions_for(df: DataFrame, size: int) -> int:
+    """Partitions of about ``size`` bytes each, by what the planner knows of the input (if it does), and as many as a shuffle has at least."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, min(known // size, 1_000_000) if known < 1 << 55 else 0)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver delete the shuffle files of results that nothing refers to any more; else they stay until it happens to collect its garbage."""
+    spark.range(1).collect()  # the engine holds on to the query that ran last
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def written(df: DataFrame, name: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder (or at ``path``)."""
     at = path or fresh_path(df.sparkSession, name)
-    df.write.parquet(at)
+    df.write.option("compression", codec).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
@@ -102,13 +131,16 @@ def holds(owner: str, clear) -> None:
 
 
 def claim(owner: str) -> None:
-    """``owner`` is at work in this process: what the others keep goes, so that a reused worker holds one operator's memos at a time."""
+    """``owner`` is at work in this process: what the others keep goes, and the memory with it, so that a reused worker holds one operator's memos at a time."""
     if _holder != [owner]:
         _holder[:] = [owner]
         for name, clears in _clear.items():
             if name != owner:
                 for clear in clears:
                     clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def put_file(path: str, data: bytes) -> None:
