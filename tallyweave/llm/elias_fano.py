@@ -2,7 +2,7 @@
 
 A value is split in ``low`` bits, kept packed, and the rest, kept in a bit vector: element i sets bit
 (value >> low) + i. So the i-th one marks element i, and the h-th zero ends the bucket of
-values whose high part is h. Sampled counts of ones (a word of them for each block of 8 words) serve both kinds of
+values whose high part is h. Sampled counts of ones (a word of them for each block of ``BLOCK`` words) serve both kinds of
 select. All operations take arrays and work on memory-mapped buffers.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: 64-bit words in a block of the directory.
-BLOCK = 8
+BLOCK = 4
 _U = np.uint64
 _ONE = np.uint64(1)
 
@@ -46,17 +46,20 @@ def _bits_at(raw: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
     return (words[at >> 3] >> (at & 7).astype(_U)) & _U((1 << bits) - 1)
 
 
+#: Place of the k-th one of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.uint8).ravel()
+_EACH, _TOP = _U(0x0101010101010101), _U(0x8080808080808080)
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Position of the k-th (from 0) one of each word."""
-    pos = np.zeros(len(word), _U)
-    k = k.astype(np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = (word >> pos) & _U((1 << width) - 1)
-        n = np.bitwise_count(low).astype(np.int64)
-        up = k >= n
-        k = np.where(up, k - n, k)
-        pos = np.where(up, pos + _U(width), pos)
-    return pos
+    s = word - ((word >> _ONE) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _EACH  # each byte: the ones up to its end
+    k = k.astype(_U)
+    byte = np.bitwise_count(((k * _EACH | _TOP) - s) & _TOP).astype(_U) << _U(3)  # bytes that end at or before the k-th one
+    k -= (s << _U(8)) >> byte & _U(0xFF)
+    return byte + _IN_BYTE[((word >> byte & _U(0xFF)) << _U(3) | k).astype(np.int64)]
 
 
 class EliasFano:
@@ -111,6 +114,19 @@ class EliasFano:
         highs = self._select(i, self.ones, False) - i
         return (highs.astype(_U) << _U(self.low)) | _read(self.lows, i, self.low)
 
+    def access_pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at indices i and i + 1."""
+        i = np.asarray(i, np.int64)
+        at = self._select(i, self.ones, False)
+        rest = _bits_at(self.high.view(np.uint8), at + 1, 56)
+        step = np.bitwise_count((rest & (_U(0) - rest)) - _ONE).astype(np.int64)  # 64 where nothing follows that near
+        nxt = at + 1 + step
+        far = np.nonzero(rest == 0)[0]
+        if len(far):
+            nxt[far] = self._select(i[far] + 1, self.ones, False)
+        low = _U(self.low)
+        return ((at - i).astype(_U) << low) | _read(self.lows, i, self.low), ((nxt - i - 1).astype(_U) << low) | _read(self.lows, i + 1, self.low)
+
     def bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[start, end) of the elements whose high part is h: the run of ones after the zero that ends the bucket before."""
         h = np.asarray(h, np.int64)

@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of every n-gram of those outside the held-out seventh."""
     held = shared.crc_mod("doc_id", 7) == 2
-    scored = ngram_trie.score(_table(spark, sf_dir, "documents"), ~held, min_count=1)
+    scored = ngram_trie.score(_table(spark, sf_dir, "documents"), ~held, min_count=1, keep=("doc_id",))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
