@@ -2,17 +2,16 @@
 
 A fingerprint is 8 bytes at 8 positions. Each differing bit spoils one byte at most, so two
 fingerprints within k bits share at least 8 - k positional bytes: the guaranteed matches. Posting
-lists of single bytes hold N/256 fingerprints each, and tallying their pairs would grow with the
-square of N. The count filter is therefore applied in the index already: a posting is
-keyed by every choice of 8 - k positions and their bytes, so exactly the pairs that reach the
-guaranteed matches meet (28 postings a fingerprint for k = 2). A pair that meets has its shared bytes
-tallied and its differing bits verified.
-
-Only distinct fingerprints are indexed, so exact copies cost nothing. A posting leaves k bytes
-open and holds at most 256**k fingerprints, whatever the table's size. Two members are a pair and
-are verified in SQL; more are linked inside a worker, where large lists are probed with every
-mask of up to k bits instead of being paired, and each member is linked to the least of its
-component: no list emits more rows than it has members. Components of links come from star
+lists of single bytes hold N/256 fingerprints each, and tallying all their pairs would grow with the
+square of N. So the positions stand in k + 2 groups, of which at least two are whole in any such pair, and a
+posting is keyed by the bytes of two groups (for k = 2: four bytes, 6 postings a fingerprint). In a list the
+shared positional bytes of each pair are tallied, pairs that reach 8 - k of them are retained, and their differing bits verified.
+
+Only distinct fingerprints are indexed, so exact copies cost nothing. Two members of a list are a pair and are
+tallied in SQL; up to ``PAIRED`` are tallied inside a worker, which links each to the least of its component, so that no
+list emits more rows than it has members. The members of longer lists are posted once more, by every choice of
+8 - k positions: in such a list every pair has the guaranteed matches, k bytes are open, and at most 256**k fingerprints meet. There large lists
+are probed with every mask of up to k bits instead of being paired. Components of links come from star
 contraction over written tables.
 """
 
@@ -91,11 +90,25 @@ def shared_bytes(x: Column) -> Column:
     return sum((F.shiftrightunsigned(x, 8 * p).bitwiseAND(0xFF) == 0).cast("int") for p in range(8))
 
 
+def _wide_masks(max_bits: int) -> list[int]:
+    """As ``_masks``, for each choice of two of max_bits + 2 groups of positions."""
+    groups = [sum(0xFF << (8 * int(p)) for p in g) for g in np.array_split(np.arange(8), max_bits + 2)]
+    return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(groups, 2))]
+
+
+def tally(members: np.ndarray) -> np.ndarray:
+    """How many positional bytes each two of the members (uint64) share."""
+    own = members.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return sum((own[:, None, p] == own[None, :, p]).astype(np.uint8) for p in range(8))
+
+
 def linked(members: np.ndarray, max_bits: int) -> np.ndarray:
     """For each of the sorted distinct members (uint64) the least of its component under links of at most max_bits differing bits."""
     n = len(members)
     if n <= PAIRED:
-        u, v = np.nonzero(np.triu(np.bitwise_count(members[:, None] ^ members[None, :]) <= max_bits, 1))
+        u, v = np.nonzero(np.triu(tally(members) >= 8 - max_bits, 1))
+        near = np.bitwise_count(members[u] ^ members[v]) <= max_bits
+        u, v = u[near], v[near]
     else:
         spread = np.bitwise_or.reduce(members ^ members[0])
         bits = [1 << i for i in range(64) if int(spread) >> i & 1]
@@ -122,10 +135,22 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(u, v) links with v < u between the distinct fingerprints (column fp): as many as give the same components as all pairs within max_bits."""
     if not 1 <= max_bits <= 3:
         raise ValueError("max_bits must be 1, 2 or 3: a posting holds up to 256**max_bits fingerprints")
-    masks = _masks(max_bits)
+    posted, lists = _posted(prints.select("fp"), _wide_masks(max_bits))
+    found = _tallied(posted, lists.filter(F.col("n") <= PAIRED), max_bits)
+    long = posted.join(lists.filter(F.col("n") > PAIRED).select("c", "key"), ["c", "key"], "left_semi").select("fp").distinct()
+    posted, lists = _posted(shared.written(long, "simhash-long"), _masks(max_bits))
+    return found.unionByName(_tallied(posted, lists, max_bits)).distinct()
+
+
+def _posted(prints: DataFrame, masks: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(postings (fp, c, key), lists (c, key, n, a, b) of several members, written)."""
     posted = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("c", "key"))
     lists = posted.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    lists = shared.written(lists, "simhash-lists")
+    return posted, shared.written(lists, "simhash-lists")
+
+
+def _tallied(posted: DataFrame, lists: DataFrame, max_bits: int) -> DataFrame:
+    """(u, v) links that span what the members of each list are linked to."""
     x = F.col("a").bitwiseXOR(F.col("b"))
     pairs = lists.filter("n = 2").filter((shared_bytes(x) >= 8 - max_bits) & (F.bit_count(x) <= max_bits))
     pairs = pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -143,7 +168,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             both = np.concatenate(out, axis=1).astype(np.int64) if out else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both.max(0)), pa.array(both.min(0))], ["u", "v"])
 
-    return pairs.unionByName(longer.mapInArrow(run, "u long, v long")).distinct()
+    return pairs.unionByName(longer.mapInArrow(run, "u long, v long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
