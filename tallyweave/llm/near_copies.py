@@ -1,17 +1,23 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-1. Texts of equal sets are one node, so exact copies cost nothing. A node has ``BANDS`` keys, each made of the least of its
-   shingles under ``ROWS`` hash functions. Two sets of similarity s share a key with probability 1 - (1 - s**ROWS)**BANDS:
-   at 0.8 all but 3 pairs of a million do.
-2. Every member of a list of equal keys is compared with the list's least member. Lists whose members are not one
-   component then are open: each member is compared with the members of other components, in lists longer than
-   ``PAIRED`` with about ``LEADERS`` of them, so that no list makes pairs with the square of its length.
-3. Whatever meets is verified: the whole sets are compared, and only pairs that reach 0.8 are links. Groups are the components of links.
+"""Near copies by wide fingerprints: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+The method is that of ``simhash``: a byte-position inverted index, a tally of shared positional bytes, a count filter, and a verification.
+SimHash bits can't carry it to 0.8: sets of that similarity differ in 15 of 100 bits, so they share a positional byte with probability 0.27 only.
+Here a fingerprint has ``ROWS`` * ``BANDS`` bytes, each of the least of the set's shingles under a hash function of its position, and two sets of similarity s share
+a byte with probability s + (1 - s) / 256.
+
+1. Texts of equal sets are one node, so exact copies cost nothing. A posting is keyed by a run of ``ROWS`` positions and their bytes.
+   Two sets of similarity 0.8 meet in one of the ``BANDS`` lists but for 3 pairs of a million. Lists of the same members are one.
+2. In a list the shared bytes of each pair that is not yet linked are tallied, and pairs that share ``LEAST_BYTES`` are retained: at 0.8, 128 of 160 are
+   expected with a deviation of 5, so that fewer than one pair in 10**8 is missed.
+3. Retained pairs are verified: the whole sets are compared, and only pairs that reach 0.8 are links.
+
+A list is worked on in one task, whole sets beside it, up to ``CELL_BYTES`` of shingle bits; a longer one is cut into blocks by a hash, and each two blocks are a task of their own, so
+no pair of a list is left out, no list is gathered whole, and a task emits no more links than it has members. Groups are the components of links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +33,17 @@ SHINGLE = 5
 #: The least similarity, as a fraction of whole numbers.
 LEAST = (4, 5)
 ROWS, BANDS = 5, 32
-#: Lists up to this length are compared pair by pair where they are open.
-PAIRED = 64
-#: About so many members of a longer open list are compared with all others.
-LEADERS = 16
+#: Positional bytes that retained pairs share, of ROWS * BANDS.
+LEAST_BYTES = 96
+#: Bytes of the table (members x shingles, in bits) that a task may hold for a list or a pair of its blocks.
+CELL_BYTES = 16 << 20
+#: Members that are compared with one at once.
+SIDE = 128
 #: Shingles that are hashed by all functions at once.
 CHUNK = 1 << 11
 
 _rng = np.random.default_rng(42)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _FLIP = _rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 
@@ -44,33 +53,43 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(simhash.hashes(simhash.words_of(text), SHINGLE))
 
 
-def keys(h: np.ndarray) -> list[int]:
-    """The keys of a set, as signed longs; none of an empty one."""
+def fingerprint(h: np.ndarray) -> bytes:
+    """The positional bytes of a set; none of an empty one."""
     if not len(h):
-        return []
+        return b""
     least = np.full(len(_MUL), np.uint64(2**64 - 1))
     for at in range(0, len(h), CHUNK):
         np.minimum(least, ((h[at : at + CHUNK, None] ^ _FLIP) * _MUL).min(axis=0), out=least)
-    raw, step = least.astype("<u8").tobytes(), 8 * ROWS
-    digests = [xxhash.xxh64_intdigest(raw[step * b : step * (b + 1)], b) for b in range(BANDS)]
-    return np.array(digests, np.uint64).astype(np.int64).tolist()
+    return ((least * _MIX) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def keys(wide: bytes) -> list[int]:
+    """The keys of a fingerprint: the number of each run of positions above its bytes."""
+    return [int.from_bytes(wide[at : at + ROWS]) | (at // ROWS) << (8 * ROWS) for at in range(0, len(wide), ROWS)]
+
+
+def reach(both, a, b):
+    """Whether sets of a and b members that share ``both`` have the least similarity."""
+    top, bottom = LEAST
+    return bottom * both >= top * (a + b - both)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets have the least similarity."""
-    top, bottom = LEAST
-    if bottom * min(len(a), len(b)) < top * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return bottom * both >= top * (len(a) + len(b) - both)
+    return bool(reach(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)))
 
 
-@F.arrow_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+@F.arrow_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())]))
 def _nodes(texts: pa.Array) -> pa.Array:
     shared.claim("near_copies")
     sets = [shingles(t) for t in texts.to_pylist()]
     fp = np.array([xxhash.xxh64_intdigest(s.astype("<u8").tobytes()) for s in sets], np.uint64).astype(np.int64)
-    return pa.StructArray.from_arrays([pa.array(fp), pa.array([keys(s) for s in sets], pa.list_(pa.int64()))], ["fp", "keys"])
+    return pa.StructArray.from_arrays([pa.array(fp), pa.array([fingerprint(s) for s in sets], pa.binary())], ["fp", "wide"])
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _keys(wide: pa.Array) -> pa.Array:
+    return pa.array([keys(w) for w in wide.to_pylist()], pa.list_(pa.int64()))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -79,38 +98,83 @@ def _sets(texts: pa.Array) -> pa.Array:
     return pa.array([shingles(t).astype("<u8").tobytes() for t in texts.to_pylist()], pa.binary())
 
 
-@F.arrow_udf(T.BooleanType())
-def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    shared.claim("near_copies")
-    return pa.array([alike(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")) for x, y in zip(a, b, strict=True)], pa.bool_())
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are alike, written."""
-    a, b = sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), sets.select(F.col("fp").alias("v"), F.col("set").alias("b"))
-    met = pairs.join(a, "u").join(b, "v")
-    return shared.written(met.select("u", "v", _alike(F.col("a"), F.col("b")).alias("ok")).filter("ok").select("u", "v"), "near-links")
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each set, of the shingles that several of them hold."""
+    flat = np.concatenate(sets)
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+    several = n > 1
+    column = np.cumsum(several) - 1
+    some = several[place]
+    width = -(-int(several.sum()) // 64)
+    out = np.zeros((len(sets), width * 8), np.uint8)
+    at = column[place[some]]
+    np.bitwise_or.at(out, (of[some], at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+    return out.view("<u8")
+
+
+def link_members(wide: list[bytes], sets: list[np.ndarray], block: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (places of members) that span what alike members are linked to; with blocks, only members of different blocks are compared."""
+    n = len(sets)
+    byte = np.frombuffer(b"".join(wide), np.uint8).reshape(n, -1)
+    size, bits = np.array([len(s) for s in sets]), _bits(sets)
+    label, out = np.arange(n), []
+    for i in range(n - 1):
+        rest = np.arange(i + 1, n)
+        rest = rest[label[rest] != label[i]]
+        if block is not None:
+            rest = rest[block[rest] != block[i]]
+        rest = rest[(byte[rest] == byte[i]).sum(1) >= LEAST_BYTES]
+        for at in range(0, len(rest), SIDE):
+            some = rest[at : at + SIDE]
+            both = np.bitwise_count(bits[some] & bits[i]).sum(1, dtype=np.int64)
+            for j in some[reach(both, size[some], size[i])].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
 
 
 def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(u, v) links with v < u between alike nodes (fp, keys): enough for the components. texts gives (fp, text) of those asked for."""
-    posted = shared.written(nodes.select("fp", F.explode("keys").alias("key")), "near-keys")
-    lists = shared.written(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least")).filter("n > 1"), "near-lists")
-    members = shared.written(posted.join(lists, "key"), "near-members")
-    pairs = shared.written(members.filter("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct(), "near-pairs")
+    """(u, v) links with v < u between alike nodes (fp, wide): enough for the components. texts gives (fp, text) of those asked for."""
+    posted = shared.written(nodes.select("fp", F.explode(_keys(F.col("wide"))).alias("key")), "near-keys")
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"x{i}") for i in (1, 2)]
+    lists = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("least"), *same).filter("n > 1")
+    lists = shared.written(lists.groupBy("n", "least", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"), "near-lists")
+    members = shared.written(posted.join(lists, "key").select("key", "n", "fp"), "near-members")
     needed = shared.written(members.select("fp").distinct(), "near-needed")
-    sets = shared.written(texts(needed).select("fp", _sets(F.col("text")).alias("set")), "near-sets")
-    first = _verified(pairs, sets)
-    of = simhash.components(first)
-    of = shared.written(of.unionByName(of.select(F.col("root").alias("node"), "root")).distinct().withColumnRenamed("node", "fp"), "near-roots")
-    told = shared.written(members.join(of, "fp", "left").select("key", "n", "fp", F.coalesce("root", "fp").alias("root")), "near-told")
-    open_ = told.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-    told = shared.written(told.join(shared.written(open_, "near-open"), "key", "left_semi"), "near-told")
-    some = (F.col("n") <= PAIRED) | (F.pmod(F.xxhash64("fp", "key"), F.expr(f"n div {LEADERS}")) == 0)
-    leaders = shared.written(told.filter(some).groupBy("key").agg(F.collect_list(F.struct("fp", "root")).alias("leaders")), "near-leaders")
-    more = told.join(leaders, "key").select("fp", "root", F.explode("leaders").alias("l")).filter("root != l.root")
-    more = more.select(F.greatest("fp", "l.fp").alias("u"), F.least("fp", "l.fp").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    return first.unionByName(_verified(shared.written(more, "near-pairs"), sets))
+    sets = texts(needed).select("fp", _sets(F.col("text")).alias("set")).join(nodes.select("fp", "wide"), "fp")
+    sets = shared.written(sets, "near-sets")
+    sizes = members.join(sets.select("fp", F.octet_length("set").alias("b")), "fp").groupBy("key").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.sqrt(F.col("n") * F.col("b") / (16.0 * CELL_BYTES))).cast("int")  # two blocks: 2n / blocks members, 2b / blocks / 8 shingles, in bits
+    sizes = shared.written(sizes.select("key", F.greatest(blocks, F.lit(1)).alias("blocks")), "near-blocks")
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("fp", "key"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp").join(sets, "fp")
+    dealt = dealt.repartition(F.xxhash64("key", "a", "b")).sortWithinPartitions("key", "a", "b", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def linked() -> pa.RecordBatch:
+            fps = [h[0] for h in held]
+            block = None if at[1] == at[2] else np.array([h[3] for h in held])
+            found = link_members([h[1] for h in held], [np.frombuffer(h[2], "<u8") for h in held], block) if len(held) > 1 else []
+            ends = [sorted((fps[i], fps[j])) for i, j in found]
+            return pa.RecordBatch.from_arrays([pa.array([e[1] for e in ends], pa.int64()), pa.array([e[0] for e in ends], pa.int64())], ["u", "v"])
+
+        shared.claim("near_copies")
+        for batch in batches:
+            for key, a, b, own, fp, wide, members in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "own", "fp", "wide", "set")), strict=True):
+                if (key, a, b) != at:
+                    if held:
+                        yield linked()
+                    at, held = (key, a, b), []
+                held.append((fp, wide, members, own))
+        if held:
+            yield linked()
+
+    return shared.written(dealt.select("key", "a", "b", "own", "fp", "wide", "set").mapInArrow(run, "u long, v long"), "near-links")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,9 +188,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     k1, k2, n = (shared.free_name(names, c) for c in ("key1", "key2", "place"))
     key = [F.xxhash64(F.lit(i), F.col(id_col).isNull(), F.col(id_col), F.col(text)).alias(c) for i, c in ((1, k1), (2, k2))]
     rows = docs.select(F.col(id_col).alias("id"), key[0].alias("k1"), key[1].alias("k2"), _nodes(F.col(text)).alias("node"))
-    rows = shared.written(rows.select("id", "k1", "k2", "node.fp", "node.keys"), "near-rows")
+    rows = shared.written(rows.select("id", "k1", "k2", "node.fp", "node.wide"), "near-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2"))
-    nodes = shared.written(rows.groupBy("fp").agg(first.alias("first"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = shared.written(rows.groupBy("fp").agg(first.alias("first"), F.first("wide").alias("wide")), "near-nodes")
 
     def texts(needed: DataFrame) -> DataFrame:
         at = shared.written(nodes.join(needed, "fp", "left_semi").select("fp", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")), "near-at")
