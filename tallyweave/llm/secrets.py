@@ -1,10 +1,11 @@
 """Secret scans with corpus-wide ownership frequency, in SQL functions alone.
 
 1. Every text is cut by each pattern. ``split`` gives what lies between the matches and
-   ``regexp_extract_all`` the matches, so running sums of their lengths give the places.
+   ``regexp_extract_all`` the matches; each match becomes a row, and running sums of their lengths, over the
+   matches of one text, give the places. All of it takes time in proportion to the matches.
 2. The candidates' values are named by SHA-256 and counted by distinct repository and owner over
-   the whole corpus. A value that many owners hold is a copied example; a value that at most
-   ``max_owners`` owners hold looks live.
+   the whole corpus. A value that more than ``max_owners`` owners or more than ``max_repos`` repositories hold is a copied
+   example; any other looks live.
 3. Beyond the base kinds, long mixed tokens are candidates too (kind ``owned``). Only the
    frequency tells them from identifiers, so they become spans only where they look live.
 
@@ -14,6 +15,7 @@ Places are code points; ends are exclusive.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared
@@ -27,43 +29,45 @@ ASSIGN_MIN, ACCESS_MIN = 6, 20
 OWNED = r"(?<![A-Za-z0-9+/_=-])(?=[a-z+/_=-]*[A-Z0-9])[A-Za-z0-9+/_=-]{20,}"
 #: The order of kinds among spans that begin at one place.
 KINDS = ("assign", "access", "hex", "owned")
-#: Owners that may hold a value that still looks live.
-MAX_OWNERS = 2
+#: Owners, and repositories, that may hold a value that still looks live.
+MAX_OWNERS, MAX_REPOS = 2, 4
 
+MATCH = "struct<rank:int,n:int,gap:int,hit:string>"
 SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 
 
-def _spans(text: Column, pattern: str, rank: int, value: str | None = None) -> Column:
-    """array<SPAN> of the leftmost non-overlapping matches. value: the regex that takes the value out of a match."""
+def _matches(text: Column, pattern: str, rank: int) -> Column:
+    """array<MATCH> of the leftmost non-overlapping matches in order, each with the length of what stands between it and the one before."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, both: Column) -> Column:
-        start = acc["at"] + F.length(both["gap"])
-        end = start + F.length(both["hit"])
-        v = F.regexp_extract(both["hit"], value, 2) if value else both["hit"]
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), end.alias("end"), v.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.aggregate(both, zero, step, lambda acc: acc["out"])).otherwise(none)
-
-
-def base_spans(text: Column) -> dict[str, Column]:
-    """The spans of each base kind, failing matches dropped, in order."""
-    return {
-        "assign": F.filter(_spans(text, ASSIGN, 0, ASSIGN), lambda s: F.length(s["value"]) >= ASSIGN_MIN),
-        "access": F.filter(_spans(text, ACCESS, 1), lambda s: s["end"] - s["start"] >= ACCESS_MIN),
-        "hex": _spans(text, HEX, 2),
-    }
-
-
-def owned_spans(text: Column, base: Column) -> Column:
-    """Mixed tokens that touch no base span."""
-    mixed = lambda s: s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]")
-    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(_spans(text, OWNED, 3), lambda s: mixed(s) & clear(s))
+    gaps = F.transform(F.slice(gaps, F.lit(1), F.size(hits)), F.length)
+    one = lambda gap, hit: F.struct(F.lit(rank).alias("rank"), F.length(hit).alias("n"), gap.alias("gap"), hit.alias("hit"))
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.zip_with(gaps, hits, one)).otherwise(F.array().cast(f"array<{MATCH}>"))
+
+
+def matches(text: Column) -> Column:
+    """array<MATCH> of all kinds."""
+    return F.concat(*[_matches(text, p, rank) for rank, p in enumerate((ASSIGN, ACCESS, HEX, OWNED))])
+
+
+def spans_of(found: DataFrame, by: list[str]) -> DataFrame:
+    """A row (*by, s: SPAN) for each span of rows (*by, _matches); ``by`` begins with a key of the row. Failing matches, and mixed tokens that touch a base span, are left out."""
+    row = by[0]
+    each = found.select(*by, F.posexplode("_matches").alias("_at", "m"))
+    m = F.col("m")
+    end = F.sum(m["gap"] + m["n"]).over(W.partitionBy(row, m["rank"]).orderBy("_at")).cast("int")
+    value = F.when(m["rank"] == 0, F.regexp_extract(m["hit"], ASSIGN, 2)).otherwise(m["hit"])
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), m["rank"] + 1)
+    span = F.struct((end - m["n"]).alias("start"), m["rank"].alias("rank"), kind.alias("kind"), end.alias("end"), value.alias("value"))
+    each = each.select(*by, span.alias("s"))
+    s = F.col("s")
+    mixed = s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]")
+    good = F.when(s["rank"] == 0, F.length(s["value"]) >= ASSIGN_MIN).when(s["rank"] == 1, s["end"] - s["start"] >= ACCESS_MIN).when(s["rank"] == 3, mixed).otherwise(True)
+    each = each.filter(good)
+    base, order = s["rank"] != 3, W.partitionBy(row).orderBy("s.start", "s.rank")
+    before = F.max(F.when(base, s["end"])).over(order.rowsBetween(W.unboundedPreceding, -1))
+    after = F.min(F.when(base, s["start"])).over(W.partitionBy(row).orderBy(F.desc("s.start"), F.desc("s.rank")).rowsBetween(W.unboundedPreceding, -1))
+    touches = F.coalesce(before > s["start"], F.lit(False)) | F.coalesce(after < s["end"], F.lit(False))
+    return each.withColumn("_touches", touches).filter(base | ~F.col("_touches")).drop("_touches")
 
 
 def joined(spans: Column) -> Column:
@@ -72,17 +76,6 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def candidates(docs: DataFrame, repo: Column, owner: Column, text: str = "text") -> DataFrame:
-    """docs with a row number, ``spans_base`` and ``spans_owned``, as a written table, so that the patterns run once."""
-    names = docs.columns
-    t = F.coalesce(F.col(text), F.lit(""))
-    kinds = base_spans(t)
-    rid, b, o, r, w = (shared.free_name(names, n) for n in ("rid", "spans_base", "spans_owned", "repo_key", "owner_key"))
-    out = docs.select("*", F.monotonically_increasing_id().alias(rid), F.coalesce(repo.cast("string"), F.lit("")).alias(r), F.coalesce(owner.cast("string"), F.lit("")).alias(w))
-    out = out.withColumn(b, F.array_sort(F.concat(*kinds.values())))
-    return out.withColumn(o, owned_spans(t, F.col(b)))
-
-
 def ownership(spans: DataFrame) -> DataFrame:
     """(digest, n_docs, n_repos, n_owners) of (digest, repo, owner, rid) rows.
 
@@ -98,60 +91,63 @@ def ownership(spans: DataFrame) -> DataFrame:
     return a.join(b, "digest")
 
 
-def scan(docs: DataFrame, repo: Column, owner: Column, text: str = "text", max_owners: int = MAX_OWNERS, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, repo: Column, owner: Column, text: str = "text", max_owners: int = MAX_OWNERS, keep: tuple[str, ...] = (), max_repos: int = MAX_REPOS) -> DataFrame:
     """One row for each row of docs: the columns ``keep``, ``spans_base`` (SPAN array in order), ``spans`` (base and owned ones),
-    and ``live`` (one boolean for each of ``spans``: at most ``max_owners`` distinct owners hold its value).
+    ``live`` (one boolean for each of ``spans``: at most ``max_owners`` distinct owners and ``max_repos`` distinct repositories
+    hold its value), ``owners`` and ``repos`` (how many do), and ``before`` (the greatest end of the spans before each, or 0).
 
     Null texts are empty and have no spans. Null repositories and owners count as one nameless
     each. Repeated rows are each scanned, and count as one repository and owner. Values are equal
-    where their text is. Columns of ``keep`` must not have the names of the new ones. An empty table gives an empty one. Texts of any length are scanned whole.
-    Only spans leave the scan: the text is not shuffled.
+    where their text is. Columns of ``keep`` that have the names of the new ones give way. An empty table gives an empty one. Texts of any length are scanned whole.
+    Only spans leave the scan: the text is not shuffled, unless it is kept.
     """
-    wide = candidates(docs, repo, owner, text)
-    rid, r, w, b, o = wide.columns[-5:]
-    found = shared.written(wide.select(*keep, F.col(rid).alias("_rid"), F.col(r).alias("_repo"), F.col(w).alias("_owner"), F.col(b).alias("_base"), F.col(o).alias("_more")), "secret-spans")
-    each = found.select("_rid", "_repo", "_owner", F.explode(F.concat("_base", "_more")).alias("s"))
-    each = each.select("_rid", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), "s", F.unhex(F.sha2(F.col("s.value"), 256)).alias("digest"))
+    new = ("spans_base", "spans", "live", "owners", "repos", "before")
+    own = {c: f"k{i}" for i, c in enumerate(c for c in keep if c not in new)}  # the caller's columns under names of ours until the end
+    side = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    found = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.monotonically_increasing_id().alias("_rid"), side(repo).alias("repo"), side(owner).alias("owner"), matches(F.coalesce(F.col(text), F.lit(""))).alias("_matches"))
+    found = shared.written(found, "secret-matches")
+    each = shared.written(spans_of(found, ["_rid", "repo", "owner"]).withColumn("digest", F.unhex(F.sha2(F.col("s.value"), 256))), "secret-spans")
     freq = shared.written(ownership(each.select("digest", "repo", "owner")), "secret-owners")  # a plain table: the engine can split a hot digest
-    judged = each.join(freq, "digest").select("_rid", "s", (F.col("n_owners") <= max_owners).alias("live"), "n_owners", "n_repos")
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    judged = each.join(freq, "digest").select("_rid", "s", live.alias("live"), "n_owners", "n_repos")
     judged = judged.filter((F.col("s.kind") != "owned") | F.col("live"))
-    per = judged.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("s", "live", "n_owners", "n_repos"))).alias("_judged"))
+    order = W.partitionBy("_rid").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    judged = judged.withColumn("before", F.coalesce(F.max("s.end").over(order), F.lit(0)))
+    per = judged.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("s", "live", "n_owners", "n_repos", "before"))).alias("_judged"))
     empty = F.array().cast(per.schema["_judged"].dataType)
-    some = F.size("_base") + F.size("_more") > 0  # the others have nothing to be joined
-    rows = found.select(*keep, "_rid", F.col("_base").alias("spans_base"), "_more", "_base")
+    some = F.size("_matches") > 0  # the others have nothing to be joined
+    rows = found.select(*own.values(), "_rid", "_matches")
     out = rows.filter(some).join(per, "_rid", "left").unionByName(rows.filter(~some).withColumn("_judged", empty))
     out = out.withColumn("_judged", F.coalesce("_judged", empty))
+    part = lambda name: F.transform("_judged", lambda j: j[name])
     return out.select(
-        *keep,
-        "spans_base",
-        F.transform("_judged", lambda j: j["s"]).alias("spans"),
-        F.transform("_judged", lambda j: j["live"]).alias("live"),
-        F.transform("_judged", lambda j: j["n_owners"]).alias("owners"),
-        F.transform("_judged", lambda j: j["n_repos"]).alias("repos"),
+        *[F.col(n).alias(c) for c, n in own.items()],
+        F.transform(F.filter("_judged", lambda j: j["s"]["kind"] != "owned"), lambda j: j["s"]).alias("spans_base"),
+        *[part(name).alias(c) for c, name in (("spans", "s"), ("live", "live"), ("owners", "n_owners"), ("repos", "n_repos"), ("before", "before"))],
     )
 
 
-def redact(docs: DataFrame, repo: Column, owner: Column, text: str = "text", max_owners: int = MAX_OWNERS, n_chars: str | None = "n_chars") -> DataFrame:
-    """docs with every span replaced: ``<SECRET:kind>`` where the value looks live, ``<EXAMPLE:kind>`` where many owners hold it.
+def redact(docs: DataFrame, repo: Column, owner: Column, text: str = "text", max_owners: int = MAX_OWNERS, n_chars: str | None = "n_chars", max_repos: int = MAX_REPOS) -> DataFrame:
+    """docs with every span replaced: ``<SECRET:kind>`` where the value looks live, ``<EXAMPLE:kind>`` where it is widely copied.
 
     Spans that overlap become one, named by its first. Columns and rows stay; ``n_chars``, where
-    there is such a column, follows the new text. A text without spans stays as it is, null too.
+    there is such a column, follows the new text. A text without spans stays as it is, null too. An empty table gives an empty one.
     """
     keep = tuple(docs.columns)
     own = {c: f"c{i}" for i, c in enumerate(keep)}  # the caller's columns under names of ours until the end
     named = docs.select(*[F.col(c).alias(n) for c, n in own.items()], repo.cast("string").alias("repo_of"), owner.cast("string").alias("owner_of"))
-    out = scan(named, F.col("repo_of"), F.col("owner_of"), own[text], max_owners, tuple(own.values()))
+    out = scan(named, F.col("repo_of"), F.col("owner_of"), own[text], max_owners, tuple(own.values()), max_repos)
     t, some = F.col(own[text]), F.size("spans") > 0
-    pairs = F.arrays_zip(F.col("spans").alias("spans"), F.col("live").alias("live"))
+    cuts = F.filter(F.arrays_zip("spans", "live", "before"), lambda p: p["spans"]["start"] >= p["before"])
     tag = lambda p: F.concat(F.when(p["live"], F.lit("<SECRET:")).otherwise(F.lit("<EXAMPLE:")), p["spans"]["kind"], F.lit(">"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        s = p["spans"]
-        fresh = F.concat(acc["out"], F.array(t.substr(acc["at"] + 1, s["start"] - acc["at"]), tag(p)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def redacted(wide: Column) -> Column:
+        """wide: the text with four bytes to a code point, where a part is found without reading what stands before it."""
+        part = lambda a, n: F.decode(F.substring(wide, a * 4 + 1, n * 4), "UTF-32")
+        pieces = F.transform(cuts, lambda p: F.concat(part(p["before"], p["spans"]["start"] - p["before"]), tag(p)))
+        return F.concat(F.array_join(pieces, ""), part(F.array_max(F.transform("spans", lambda s: s["end"])), F.length(t)))
 
-    cut = F.aggregate(pairs, zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(t.substr(acc["at"] + 1, F.length(t)))), ""))
+    cut = F.get(F.transform(F.array(F.encode(t, "UTF-32")), redacted), F.lit(0))  # encoded once, as the element of an array
     out = out.withColumn(own[text], F.when(some, cut).otherwise(t))
     if n_chars and n_chars in own:
         n = own[n_chars]
