@@ -158,12 +158,14 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text:
     """At most max_rows rows (place, text, label): the least by a hash of the id among the labelled rows that ``learn`` admits.
 
     The choice is made on the labels alone, so what is joined to the documents has a fixed bound. An id with
-    several labels counts with the least; an id that several documents have brings each of their texts.
+    several labels counts with the least; of an id that several documents have one text is read, the least by a hash. A task passes on
+    one text of an id at most.
     """
     ids = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & learn).groupBy(F.col(id_col).alias("id")).agg(F.min(label).cast("int").alias("label"))
     chosen = ids.withColumn("place", F.xxhash64(F.col("id").cast("string"))).orderBy("place", "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("place", "text", "label")
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("place").alias("place"), F.first("label").alias("label"))
+    return one.select("place", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, bits: int = BITS, epochs: int = EPOCHS) -> Model:
@@ -223,7 +225,10 @@ def with_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, **more) -> DataFrame:
-    """The rows of docs that the classifier admits, all columns as they are."""
+    """The rows of docs that the classifier admits, all columns as they are.
+
+    Null and empty texts score by the bias alone; rows that repeat and equal texts are admitted alike, a null id does not matter; an empty table gives an empty one.
+    """
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     named = docs.select(*[F.col(c).alias(n) for c, n in own.items()])
     model = fit(docs, labels, learn, **{k: v for k, v in more.items() if k != "threshold"})
