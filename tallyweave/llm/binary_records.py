@@ -4,7 +4,7 @@ A data file is a run of records, in ascending order of document::
 
     length   u64 LE   bytes of the payload
     check    u32 LE   masked CRC-32 of the 8 length bytes
-    payload           i64 LE document id, u8 bytes per id, then the ids, unsigned LE
+    payload           i64 LE document id (-2**63 where the document has none), u8 bytes per id (and 128 where the document has no id), then the ids, unsigned LE
     check    u32 LE   masked CRC-32 of the payload
 
 An index file has one entry for each record of its data file: u64 LE offset of the record, u64 LE
@@ -36,6 +36,10 @@ from . import shared, tokenize
 MASK_DELTA = 0xA282EAD8
 #: Bytes in one data file.
 FILE_BYTES = 32 << 20
+#: Bytes of input that one task sorts and writes.
+TASK_BYTES = 256 << 20
+#: The mark of a record whose document has no id.
+NO_ID = 0x80
 MANIFEST = "part int, file int, path string, records long, ids long, bytes long"
 
 
@@ -84,7 +88,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     """Encode the whole text of each document, append ``end_id``, and write records in ascending order of id under ``path``.
 
     Null texts are empty (their record holds the end id alone). Documents with a null id come
-    first and carry the id -2**63. Rows that repeat an id are all written, next to each other,
+    first and are marked. Rows that repeat an id are all written, next to each other,
     ordered by text. An empty table leaves no file. Returns the manifest, read back from its table.
 
     One range exchange by id moves the texts; ids are unique or nearly so, so ranges are even, and
@@ -93,8 +97,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     spark = docs.sparkSession
     shared.arrow_batches(spark)
     tokenizer_path = tokenizer_path or tokenize.default_path()
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    n = partitions or shared.partitions_for(rows, TASK_BYTES)
     ordered = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +106,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str | None = None,
 
         enc = tokenize.encoder(tokenizer_path)
         part, k, out, made = TaskContext.get().partitionId(), 0, _File(), []
-        end, width = np.array([end_id], enc.dtype).tobytes(), struct.pack("<B", enc.width)
+        end = np.array([end_id], enc.dtype).tobytes()
+        head = lambda doc: struct.pack("<qB", -(2**63) if doc is None else doc, enc.width | (NO_ID if doc is None else 0))
 
         def close() -> None:
             nonlocal out, k
@@ -115,7 +120,7 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str | None = None,
             for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")), strict=True):
                 if out.bytes and out.bytes + len(ids) > file_bytes:
                     close()
-                out.add(b"".join((struct.pack("<q", doc), width, ids, end)), len(ids) // enc.width + 1)
+                out.add(b"".join((head(doc), ids, end)), len(ids) // enc.width + 1)
         if out.index:
             close()
         if made:
@@ -134,33 +139,38 @@ def file_starts(manifest: DataFrame) -> DataFrame:
     return manifest.join(before, "part").withColumn("start", F.col("part_start") + inside).drop("part_start")
 
 
-def read_file(path: str) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(document id, ids before it in the file, its ids) of each record of a data file, every check made."""
+def records_of(path: str) -> Iterator[tuple[int, bool, int, np.ndarray]]:
+    """(document id as stored, whether the document has one, ids before it in the file, its ids) of each record of a data file, every check made."""
     files, at = shared.local_fs(f"{path}.idx")
     with files.open_input_stream(at) as f:
         index = np.frombuffer(f.read(), "<u8").reshape(-1, 3).tolist()
     files, at = shared.local_fs(f"{path}.bin")
     with files.open_input_file(at) as f:
         for offset, size, before in index:
-            yield (*_payload(unframe(f.read_at(size, offset), 0, size), before),)
+            payload = unframe(f.read_at(size, offset), 0, size)
+            doc, width = struct.unpack_from("<qB", payload)
+            yield doc, not width & NO_ID, before, np.frombuffer(payload, f"<u{width & ~NO_ID}", offset=9)
 
 
-def _payload(payload: bytes, before: int) -> tuple[int, int, np.ndarray]:
-    doc, width = struct.unpack_from("<qB", payload)
-    return doc, before, np.frombuffer(payload, f"<u{width}", offset=9)
+def read_file(path: str) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(document id as stored, ids before it in the file, its ids) of each record of a data file."""
+    for doc, _, before, ids in records_of(path):
+        yield doc, before, ids
 
 
 def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """One row for each record of the files: doc_id, start (ids of all records before), n_tokens, ids_crc32 (over unsigned 32-bit LE ids)."""
+    """One row for each record of the files: doc_id, start (ids of all records before), n_tokens, ids_crc32 (over unsigned 32-bit LE ids).
+
+    A marked record gives a null doc_id; records that repeat are each read; a manifest without files gives no rows. A damaged record is an error.
+    """
     shared.arrow_batches(spark)
     files = file_starts(manifest).select("path", "start")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(manifest.count(), 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
-                rows = [(doc, start + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, before, ids in read_file(path)]
+                rows = [(doc if known else None, start + before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, known, before, ids in records_of(path)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    out = files.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(2**63)).cast("long"), F.col("doc_id")))
+    return files.repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
