@@ -5,9 +5,9 @@ document's words are streamed through it; after each word the automaton knows th
 suffix of what was read that some item holds. Where that length reaches a window, the window's
 words are hit, and the state tells the items that hold it.
 
-An automaton holds at most ``BLOCK_WORDS`` words of items. More items than that make several
-automata, one pass over the documents for each, and the hits of a document are united by a join;
-what is sent to executors is bounded either way.
+An automaton holds about ``BLOCK_WORDS`` words of items. More items than that are dealt into several
+blocks by a hash, each with its own automaton and its own pass over the documents; all passes write to one table, and the hits of a document are
+united by one aggregation. Workers read the items of a block from the shared folder; none pass through the driver.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, ASCII capitals made
 small. Bytes above 0x7f only stand in such characters, so UTF-8 can be cut as bytes.
@@ -15,13 +15,13 @@ small. Bytes above 0x7f only stand in such characters, so UTF-8 can be cut as by
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,46 +162,43 @@ class Automaton:
         return spans, {self.items[k] for k in found}
 
 
-_built: dict[str, Automaton] = {}
+_built: dict[tuple[str, int], Automaton] = {}
 shared.holds("decontaminate", _built.clear)
 
 
-def _automaton(key: str, window: int, items: list[tuple[str, str]]) -> Automaton:
-    """The automaton of a block, built once in each worker; a worker holds one at a time."""
+def _automaton(path: str, window: int) -> Automaton:
+    """The automaton of a block's items, built once in each worker; a worker holds one at a time."""
     shared.claim("decontaminate")
-    if key not in _built:
+    if (path, window) not in _built:
         _built.clear()
-        _built[key] = Automaton([(i, words_of(t)) for i, t in items], window)
-    return _built[key]
+        files, at = shared.local_fs(path)
+        rows = pq.read_table(at, columns=["i", "t"], filesystem=files, partitioning=None).to_pylist()
+        _built[path, window] = Automaton(sorted((r["i"], words_of(r["t"])) for r in rows), window)
+    return _built[path, window]
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of at most block_words words (one longer item is a block of its own), streamed to the driver block by block."""
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).distinct().orderBy("i", "t")
-    block: list[tuple[str, str]] = []
-    words = 0
-    for r in rows.toLocalIterator():
-        n = len(words_of(r["t"]))
-        if block and words + n > block_words:
-            yield block
-            block, words = [], 0
-        block.append((r["i"], r["t"]))
-        words += n
-    yield block
+def blocks_of(benchmark: DataFrame, id_col: str, text: str, block_words: int) -> list[str]:
+    """Folders of the items of each block (i, t). Blocks have about block_words words; a longer item makes its block longer."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).distinct()
+    rows = shared.written(rows, "decon-items")
+    words = rows.agg(F.sum(F.size(F.split("t", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0  # at most two too many for each item
+    n = -(-words // block_words) or 1
+    path = shared.fresh_path(benchmark.sparkSession, "decon-blocks")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n)).cast("int"))
+    dealt.repartition(n, "block").write.partitionBy("block").parquet(path)
+    return [f"{path}/block={r['block']}" for r in dealt.select("block").distinct().orderBy("block").collect()]
 
 
 HITS = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
-def _hits(docs: DataFrame, block: list[tuple[str, str]], text: Column, window: int) -> Column:
-    """n_words, spans (of words) and items of each text against one block."""
-    key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
-    shipped = docs.sparkSession.sparkContext.broadcast(block)
+def _hits(block: str | None, text: Column, window: int) -> Column:
+    """n_words, spans (of words) and items of each text against one block, or none."""
 
     @F.arrow_udf(HITS)
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        auto = _automaton(key, window, shipped.value)
+        auto = _automaton(block, window) if block else Automaton([], window)
         for batch in texts:
             counts, starts, ends, items, ends_at = [], [], [], [], [0]
             for t in batch.to_pylist():
@@ -225,39 +222,37 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("d
     A window is ``window`` consecutive words of an item, or all words of a shorter one; a word inside
     any occurrence of a window is hit. Null and empty texts have no words; items without words
     have no window. Items that repeat an id count as one item with the windows of both; documents
-    that repeat are each judged. No items: no hits. Columns of ``keep`` must not be called n_words,
-    spans or items. Nothing is shuffled while the items fit one automaton.
+    that repeat are each judged. No items: no hits; no documents: no rows. Columns of ``keep`` that are called n_words,
+    spans or items give way. Nothing is shuffled while the items fit one automaton.
     """
     spark = docs.sparkSession
     shared.arrow_batches(spark)
+    own = {c: f"k{i}" for i, c in enumerate(c for c in keep if c not in ("n_words", "spans", "items"))}  # the caller's columns under names of ours until the end
+    named = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(text).alias("_text"))
+    back = lambda df: df.select(*[F.col(n).alias(c) for c, n in own.items()], "n_words", "spans", "items")
     blocks = blocks_of(benchmark, item_id, item_text, block_words)
-    first = next(blocks)
-    second = next(blocks, None)
     flat = ["_h.n_words", "_h.spans", "_h.items"]
-    if second is None:
-        return docs.select(*keep, _hits(docs, first, F.col(text), window).alias("_h")).select(*keep, *flat)
-    rows = shared.written(docs.select(*dict.fromkeys([*keep, text]), F.monotonically_increasing_id().alias("_rid")), "decon-docs")
-    out = shared.written(rows.select(*keep, "_rid", _hits(docs, first, F.col(text), window).alias("_h")).select(*keep, "_rid", *flat), "decon-pass")
-    for block in chain([second], blocks):
-        one = shared.written(rows.select("_rid", _hits(docs, block, F.col(text), window).alias("_h")).select("_rid", *flat), "decon-pass")
-        one = one.select("_rid", F.col("spans").alias("_s"), F.col("items").alias("_i")).filter(F.size("_s") > 0)
-        none = F.array().cast(one.schema["_s"].dataType)
-        out = out.join(one, "_rid", "left").withColumn("spans", _united(F.concat("spans", F.coalesce("_s", none))))
-        out = out.withColumn("items", F.array_sort(F.array_union("items", F.coalesce("_i", F.array().cast("array<string>"))))).drop("_s", "_i")
-    return out.select(*keep, "n_words", "spans", "items")
-
-
-def _united(spans: Column) -> Column:
-    """Spans that touch become one."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce(s["start"] <= last["end"], F.lit(False))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(F.array_sort(spans), none, step)
+    if len(blocks) < 2:
+        return back(named.select("*", _hits(blocks[0] if blocks else None, F.col("_text"), window).alias("_h")).select(*own.values(), *flat))
+    rows = shared.written(named.withColumn("_rid", F.monotonically_increasing_id()), "decon-docs")
+    at = shared.fresh_path(spark, "decon-passes")
+    for place, block in enumerate(blocks):
+        one = rows.select("_rid", _hits(block, F.col("_text"), window).alias("_h")).select("_rid", *flat)
+        one.filter((F.size("spans") > 0) | F.lit(place == 0)).write.mode("append").parquet(at)
+    found = spark.read.parquet(at)
+    items = found.groupBy("_rid").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = rows.drop("_text").join(items, "_rid").join(_united(found.select("_rid", F.explode("spans").alias("s"))), "_rid", "left")
+    return back(out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))))
+
+
+def _united(spans: DataFrame) -> DataFrame:
+    """(_rid, spans) of rows (_rid, s): spans that touch are one."""
+    order = W.partitionBy("_rid").orderBy("s.start", "s.end")
+    reach = F.max("s.end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = spans.withColumn("_new", F.coalesce(F.col("s.start") > reach, F.lit(True)).cast("int"))
+    marked = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = marked.groupBy("_rid", "_run").agg(F.struct(F.min("s.start").alias("start"), F.max("s.end").alias("end")).alias("s"))
+    return runs.groupBy("_rid").agg(F.array_sort(F.collect_list("s")).alias("spans"))
 
 
 def digest(items: Column) -> Column:
@@ -269,7 +264,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_
 
     Hit spans (each at least a window long) are cut out of the text, each leaving one blank; a document of which more than ``max_coverage`` of the words are hit
     goes. All other rows and columns stay as they are, ``n_chars`` following the text where there is
-    such a column. Null texts stay null.
+    such a column. Null texts stay null; rows that repeat are each judged; no items change nothing; an empty table gives an empty one.
     """
     keep = tuple(docs.columns)
     own = {c: f"c{i}" for i, c in enumerate(keep)}  # the caller's columns under names of ours until the end
