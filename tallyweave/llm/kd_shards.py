@@ -150,11 +150,11 @@ def _cut(pts: DataFrame, keys: list[Column], tree: list[Node], level: list[int],
                 node.lo, node.bits, node.before = node.lo + (r["bin"] << rest), rest, have
 
 
-def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text: str = "text", tolerance: float = 0.002, hot_share: float = 0.25) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text: str = "text", tolerance: float = 0.002, hot_share: float = 0.25, spread: str | None = None) -> DataFrame:
     """docs with ``size`` (UTF-8 bytes of the text plus 16), ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     Rows of equal text share a shard, unless all of them together outweigh ``hot_share`` of a
-    shard; such a group is spread in pieces. Null texts count as empty ones, a null coordinate as
+    shard; such a group is spread in pieces, and ``spread``, where it names a column, tells its rows. Null texts count as empty ones, a null coordinate as
     an empty text, a null id as 0. Repeated rows each take a slot. An empty table gives an empty one.
     The text itself is not carried along; columns of docs that have the names of the three new ones give way.
 
@@ -162,7 +162,7 @@ def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("source",
     brings a group's cell back to its rows moves no text. Rows are written once with their place
     in their task, and a slot is that place plus the counts of the tasks before.
     """
-    keep = [c for c in docs.columns if c not in ("size", "shard", "slot", text)]
+    keep = [c for c in docs.columns if c not in ("size", "shard", "slot", text, spread)]
     own = {c: f"c{i}" for i, c in enumerate(keep)}  # the caller's columns under names of ours until the end
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -193,10 +193,10 @@ def shard(docs: DataFrame, shards: int = 40, dims: tuple[str, ...] = ("source",
     tree = build(pts, n_dims, shards, tolerance)
     firsts = F.array(*[F.lit(n.first) for n in tree])
     placed = rows.join(groups.select("_g1", "_g2", "_pieces", "_dims"), ["_g1", "_g2"])
-    placed = placed.select(*own.values(), F.col("_size").alias("size"), *keyed((F.col("_deal") % F.col("_pieces")).cast("int")))
-    placed = placed.select(*own.values(), "size", F.get(firsts, _walk(tree, [F.col(f"k{i}") for i in range(n_dims)])).alias("shard"))
+    placed = placed.select(*own.values(), F.col("_size").alias("size"), (F.col("_pieces") > 1).alias("_spread"), *keyed((F.col("_deal") % F.col("_pieces")).cast("int")))
+    placed = placed.select(*own.values(), "size", "_spread", F.get(firsts, _walk(tree, [F.col(f"k{i}") for i in range(n_dims)])).alias("shard"))
     out = with_slots(placed, "shard")
-    return out.select(*[F.col(n).alias(c) for c, n in own.items()], "size", "shard", "slot")
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], "size", "shard", "slot", *([F.col("_spread").alias(spread)] if spread else []))
 
 
 def with_slots(rows: DataFrame, shard: str) -> DataFrame:

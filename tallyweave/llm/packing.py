@@ -181,9 +181,12 @@ def cut(mix: Mixture, queue: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tu
     return doc, lo - begin[doc], hi - lo
 
 
-def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer_path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text: str = "text", source: str = "source", window: int = WINDOW, quantum: int = QUANTUM, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer_path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text: str = "text", source: str = "source", window: int = WINDOW, quantum: int = QUANTUM, with_ids: bool = False, temperature: float = 1.0) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue[, ids].
 
+    ``targets`` are the proportions of sources; without them a source's is what it holds to the power of ``temperature`` (below 1 small sources come
+    sooner than their share, and what is left of large ones comes at the end).
+
     Null texts are empty and hold the end id alone; a null source is the queue of the empty name; null ids stay null. Rows that repeat are
     each packed. Queues hold documents in the order in which the table is read. Each id lies in exactly one piece, and sequences are full
     but for the last. An empty table gives an empty one.
@@ -199,6 +202,8 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, tokenizer_pat
     if len(totals) > MAX_QUEUES:  # as classes of equal weight need them
         totals.sort(key=lambda x: -x[1])
     names = [q for q, _ in totals]
+    if not targets and temperature != 1.0:
+        targets = {q: t**temperature for q, t in totals}
     mix = Mixture.of(names, [t for _, t in totals], targets, window, quantum)
     small = sums.count() <= BROADCAST_ROWS
     placed = rows.join(F.broadcast(starts) if small else starts, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("local")).alias("begin"), "n", "ids")

@@ -37,8 +37,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in windows of 1024 ids, each source at its own share of all ids."""
-    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    """All documents in windows of 1024 ids, each source at a flattened share of all ids."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), temperature=0.7)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -56,11 +56,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards of nearly equal bytes."""
+    """All documents in 40 shards of nearly equal bytes.
+
+    Equal texts share a shard, but for a group that outweighs a quarter of a shard: no law of equal bytes can keep it whole. Its rows have ``spread``.
+    """
     docs = _table(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
-    out = kd_shards.shard(docs.select("doc_id", "text", "source", "lang", crc))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = kd_shards.shard(docs.select("doc_id", "text", "source", "lang", crc), spread="spread")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "spread")
 
 
 def repository() -> tuple:
