@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.functions import text
+from tallyweave.functions import similarity, text
 
 # Fields of compact labels, their patterns, and the sizes and refrigerants that are plausible.
 COMPACT_PATTERNS = {
@@ -32,13 +33,16 @@ STANDARD_PATTERNS = {
     "noise": (r"(?:Sound\s+Pressure\s+Level\s*\(?H\)?|Noise(?:\s+Level)?)(?:\s+dB\s*\(?A\)?)?", r"[0-9OIl]+(?:[.,][0-9OIl]+)?\s*dB\s*\(?A\)?"),
     "mfg_date": (r"(?:Manufactured|Mfg\.?)\s+Date", r"[A-Z0-9]{4}(?:[.\-/]?[A-Z0-9]{1,4})?"),
 }
-#: Found without their caption as well.
+#: Tried before the pattern above: the whole unit.
+STRICT_PATTERNS = {"air_volume": r"[0-9OIl]+(?:[.,][0-9OIl]+)?\s*m\s*(?:3|\^3)?\s*/\s*h"}
+#: Found without their caption as well, as whole words.
 BARE = ("voltage", "frequency")
+# Words and keys that decide.
 COMPACT_KEYWORDS = ("NW", "N.W", "GW", "G.W", "COLOR", "REFRIGERANT", "CONNECTION PIPE")
 #: Fields of standard labels where the printed text stands against the model's.
 STANDARD_ANCHORS = ("model_number", "voltage", "frequency", "heating_capacity", "cooling_capacity", "air_volume", "weight", "noise", "mfg_date", "barcode")
 COMPACT_ANCHORS = ("model_number", "barcode")
-#: Words in a reply that speak of a difference, and of likeness; the first are looked for first.
+# Words in a reply that speak of a difference, and of likeness; the first are looked for first.
 DIFFERENT = ("不一致", "不同", "缺失", "缺少", "多余", "不匹配", "different", "missing", "mismatch", "not match", "inconsistent", "差异", "不相同", "有差别")
 ALIKE = ("一致", "相同", "匹配", "完全相同", "same", "match", "identical", "consistent")
 
@@ -72,9 +76,8 @@ def standard_fields(c: Column, phrases: dict[str, str] | None = None, model_patt
     t = _one_line(c, wide)
     out = []
     for name, (caption, value) in STANDARD_PATTERNS.items():
-        found = _group(t, rf"(?is){caption}\s*[:：]?\s*[\r\n ]*({value})")
-        if name in BARE:
-            found = F.coalesce(found, _group(t, rf"(?i)\b({value})"))
+        captioned = [_group(t, rf"(?is){caption}\s*[:：]?\s*[\r\n ]*({v})") for v in (STRICT_PATTERNS.get(name), value) if v]
+        found = F.coalesce(*captioned, *([_group(t, rf"(?i)\b({value})\b")] if name in BARE else []))
         out.append(F.regexp_replace(found, text._BLANKS, "").alias(name))
     line = F.regexp_replace(t, text._BLANKS, " ")
     out += [_group(line, p).alias(n) for n, p in (phrases or {}).items()]
@@ -89,9 +92,10 @@ def label_kind(c: Column) -> Column:
     return F.when(sum(F.contains(t, F.lit(k)).cast("int") for k in COMPACT_KEYWORDS) >= 2, "compact").otherwise("standard")
 
 
-def suspicious(field: str, c: Column) -> Column:
+def suspicious(field: str, c: Column, wide: bool = True) -> Column:
     """Whether a compact label's value is implausible; blank ones are."""
-    t = F.btrim(F.coalesce(c, F.lit("")))
+    t = F.coalesce(c, F.lit(""))
+    t = F.regexp_replace(text.nfkc(t) if wide else t, r"(?U)^\s+|\s+$", "")
     packed = F.regexp_replace(t, text._BLANKS, "")
     if field == "model_number":
         bad = F.length(packed) < 10
@@ -111,13 +115,13 @@ def suspicious(field: str, c: Column) -> Column:
     return (t == "") | bad
 
 
-def merge_compact(field: str, rule: Column, model: Column) -> Column:
-    """Rule against model: anchors take the rule's value where it is plausible, others the model's."""
-    good = lambda c: text.present(c) & ~suspicious(field, c)
-    either = F.coalesce(F.when(text.present(model), model), rule)
+def merge_compact(field: str, rule: Column, model: Column, wide: bool = True) -> Column:
+    """Rule against model: of anchors the rule's value stands where it is plausible or the model has none; of other fields the first plausible value, the model's before the rule's, and where neither is, whatever is there in that order."""
+    plausible = lambda c: F.when(text.present(c) & ~suspicious(field, c, wide), c)
+    there = lambda c: F.when(text.present(c), c)
     if field in COMPACT_ANCHORS:
-        return F.when(good(rule) | ~text.present(model), F.coalesce(F.when(text.present(rule), rule), model)).otherwise(model)
-    return F.when(good(model), model).when(good(rule), rule).otherwise(either)
+        return F.coalesce(plausible(rule), there(model), there(rule))
+    return F.coalesce(plausible(model), plausible(rule), F.nullif(model, F.lit("")), rule)
 
 
 def completes(rule: Column, model: Column) -> Column:
@@ -138,9 +142,30 @@ def merge_standard(field: str, rule: Column, model: Column) -> Column:
 # ---- model replies
 
 
+#: Braces from which an object is sought, and levels of nesting that one may have.
+BRACES, DEPTH = 1_000, 200
+
+
+def _too_deep(body: str) -> bool:
+    """Whether brackets nest beyond DEPTH anywhere; those inside strings count too, which can only make an answer null."""
+    depth = 0
+    for c in _BRACKET.findall(body):
+        depth = depth + 1 if c in "{[" else max(0, depth - 1)
+        if depth > DEPTH:
+            return True
+    return False
+
+
+_BRACKET = re.compile(r"[{}\[\]]")
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def salvage(raw: str | None) -> dict | None:
-    """The first JSON object of a reply: all of it, the inside of a code fence, or the first brace from which an object can be read."""
-    if not raw:
+    """The first JSON object of a reply: all of it, the inside of a code fence, or the first brace from which an object can be read.
+
+    The first BRACES braces are tried, so that a long broken reply takes no more than so many readings; a reply whose brackets nest beyond DEPTH gives none.
+    """
+    if not raw or _too_deep(raw):
         return None
     body = raw.strip()
     inside = [part.partition("\n")[2] if not part.lstrip().startswith("{") else part for part in body.split("```")[1::2]]
@@ -152,7 +177,9 @@ def salvage(raw: str | None) -> dict | None:
         if isinstance(found, dict):
             return found
     read, at = json.JSONDecoder().raw_decode, body.find("{")
-    while at >= 0:
+    for _ in range(BRACES):
+        if at < 0:
+            return None
         try:
             return read(body, at)[0]
         except ValueError:
@@ -162,8 +189,9 @@ def salvage(raw: str | None) -> dict | None:
 
 @F.arrow_udf(T.StringType())
 def salvaged(raw: pa.Array) -> pa.Array:
-    """The object as JSON text, to be read by ``from_json``; null where there is none."""
-    return pa.array([None if (o := salvage(r)) is None else json.dumps(o, ensure_ascii=False) for r in raw.to_pylist()], pa.string())
+    """The object as JSON text, to be read by ``from_json``; null where there is none. Halves of characters that a reply escapes alone become the replacement sign."""
+    found = (salvage(r) for r in raw.to_pylist())
+    return pa.array([None if o is None else _SURROGATE.sub("\ufffd", json.dumps(o, ensure_ascii=False)) for o in found], pa.string())
 
 
 REPLY = "struct<decision:string,is_match:boolean,confidence:double,differences:array<string>,summary:string>"
@@ -191,6 +219,15 @@ def decision(raw: Column) -> Column:
     )
 
 
+def batch_decision(object_json: Column, valid: Column) -> Column:
+    """As ``filter_decision``, of an answer about several candidates (ids ``valid``), with ``kept``: the valid ids under the first of its keys that holds any. Where there are some, discard becomes keep."""
+    one = filter_decision(object_json)
+    found = [similarity.harvested(F.get_json_object(object_json, f"$.{k}"), valid) for k in KEPT_KEYS]
+    kept = F.coalesce(*[F.when(F.size(x) > 0, x) for x in found], F.array().cast("array<bigint>"))
+    decided = F.when((one["decision"] == "discard") & (F.size(kept) > 0), "keep").otherwise(one["decision"])
+    return F.struct(decided.alias("decision"), one["confidence"].alias("confidence"), one["reason"].alias("reason"), kept.alias("kept"))
+
+
 def domain(c: Column, allowed: tuple[str, ...], other: str) -> Column:
     """The trimmed lower-case value where it is allowed, else ``other``."""
     t = F.lower(F.btrim(F.coalesce(c, F.lit(""))))
@@ -204,7 +241,8 @@ def filter_decision(object_json: Column) -> Column:
     return F.struct(domain(r["decision"], ("keep", "discard"), "unknown").alias("decision"), sure.alias("confidence"), F.coalesce(r["reason"], F.lit("")).alias("reason"))
 
 
-#: Keys under which a reply may list its detections, and a detection its box.
+# Keys under which a reply may list its detections, and a detection its box.
+KEPT_KEYS = ("kept_candidate_ids", "keep_candidate_ids", "changed_candidate_ids", "candidate_ids", "kept_ids", "changed_ids")
 LIST_KEYS = ("detections", "objects", "regions", "boxes", "results", "items")
 BOX_KEYS = ("bbox", "bbox_2d", "box", "coordinate")
 

@@ -6,6 +6,7 @@ one Arrow function for each column pair.
 
 from __future__ import annotations
 
+import json
 import re
 from difflib import SequenceMatcher
 from functools import lru_cache, reduce
@@ -37,7 +38,7 @@ CAPTION_NAMES = {
     "mfg_date": ("manufactureddate", "mfgdate", "date"),
     "address": ("address", "add"),
 }
-#: Captions as they are found in running text; no letter may stand beside one.
+# Captions as they are found in running text; no letter may stand beside one.
 CAPTION_PATTERNS = {
     "model_number": r"Model",
     "net_weight": r"N\s*\.?\s*W\s*\.?|Net\s*Weight",
@@ -144,30 +145,26 @@ def looks_like_value(field: Column, read: Column) -> Column:
 # ---- captions
 
 
-def captions_match(field: str, expected: str | None, actual: str | None, key, barcode_key, tokens) -> bool:
-    """Captions of a field: the same letters in the same case, or both names of the field, or the same words; a difference in case alone is a difference."""
-    if field == "barcode":
-        a, b = barcode_key(expected), barcode_key(actual)
-        if a == b or a.casefold() == b.casefold():
-            return a == b
-    a, b = key(expected), key(actual)
-    if a == b or a.casefold() == b.casefold():
-        return a == b and field != "barcode"
-    names = CAPTION_NAMES.get(field, ())
-    if not names:
+def captions_match(field: str, keys: tuple[str, str], codes: tuple[str, str], tokens: tuple[list, list]) -> bool:
+    """Whether two captions of a field, given by caption keys, barcode caption keys and tokens, are the same: the same letters in the same case, or both names
+    of the field (the second nearly), or the same words, two at least. A difference in case alone is one; of barcodes punctuation counts too."""
+    exact = codes if field == "barcode" else keys
+    if exact[0] == exact[1]:
+        return True
+    if any(a.casefold() == b.casefold() for a, b in ((keys, exact) if field == "barcode" else (keys,))):
         return False
-    low_a, low_b = a.lower(), b.lower()
-    if low_a in names and (low_b in names or (ratio(low_b, low_a) >= 0.94 and abs(len(low_a) - len(low_b)) <= max(1, int(len(low_a) * 0.12)))):
+    names = CAPTION_NAMES.get(field, ())
+    a, b = (k.lower() for k in keys)
+    near = ratio(b, a) >= 0.94 and abs(len(a) - len(b)) <= max(1, int(len(a) * 0.12))
+    if a in names and (b in names or near):
         return True
-    left, right = tokens(expected), tokens(actual)
-    return min(len(left), len(right)) >= 2 and set(left) == set(right)
+    return bool(names) and min(map(len, tokens)) >= 2 and set(tokens[0]) == set(tokens[1])
 
 
 @F.arrow_udf(T.BooleanType())
 def _captions(fields: pa.Array, a: pa.Array, b: pa.Array, a_code: pa.Array, b_code: pa.Array, a_tokens: pa.Array, b_tokens: pa.Array) -> pa.Array:
     rows = zip(*(c.to_pylist() for c in (fields, a, b, a_code, b_code, a_tokens, b_tokens)), strict=True)
-    pick = lambda pair: lambda which: pair[which]
-    return pa.array([captions_match(f, 0, 1, pick((x, y)), pick((xc, yc)), pick((xt, yt))) for f, x, y, xc, yc, xt, yt in rows], pa.bool_())
+    return pa.array([captions_match(f, (x, y), (xc, yc), (xt, yt)) for f, x, y, xc, yc, xt, yt in rows], pa.bool_())
 
 
 def fields_match(field: Column, expected: Column, actual: Column) -> Column:
@@ -236,3 +233,16 @@ def harvest(value, valid: set[int]) -> list[int]:
 
     walk(value)
     return out
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def harvested(values: pa.Array, valid: pa.Array) -> pa.Array:
+    """``harvest`` of JSON texts; a text that is no JSON is taken as it stands."""
+
+    def read(t: str):
+        try:
+            return json.loads(t)
+        except (ValueError, RecursionError):
+            return t
+
+    return pa.array([harvest(read(v), set(ids or ())) if v else [] for v, ids in zip(values.to_pylist(), valid.to_pylist(), strict=True)], pa.list_(pa.int64()))

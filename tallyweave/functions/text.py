@@ -151,3 +151,10 @@ def fingerprint(*columns: Column) -> Column:
     """Four groups of eight hex digits of the SHA-256 of the columns as JSON."""
     h = F.upper(F.sha2(F.to_json(F.struct(*columns)), 256))
     return F.concat_ws("-", *[F.substring(h, 8 * i + 1, 8) for i in range(4)])
+
+
+def utc_time(c: Column) -> Column:
+    """The instant of a text as ISO 8601 has it: a trailing Z or no offset is UTC; null where it is none."""
+    t = F.btrim(F.coalesce(c, F.lit("")))
+    offset = t.rlike(r"[0-9]{2}:[0-9]{2}.*([Zz]|[+-][0-9]{2}:?[0-9]{2})$")
+    return F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}.*)?$"), F.try_to_timestamp(F.when(offset, t).when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00Z"))).otherwise(F.concat(t, F.lit("Z")))))
