@@ -193,3 +193,50 @@ def inferred(regions: DataFrame, offsets: DataFrame, case: list[str]) -> DataFra
     side = lambda lo, hi, d, s: ((b[lo] + b[hi]) / 2 + or_(d, 0.0), (b[hi] - b[lo]) / 2 * or_(s, 1.0))
     (cx, hw), (cy, hh) = side("x1", "x2", "dx", "sx"), side("y1", "y2", "dy", "sy")
     return r.withColumn("inferred", F.struct((cx - hw).alias("x1"), (cy - hh).alias("y1"), (cx + hw).alias("x2"), (cy + hh).alias("y2"))).drop("dx", "dy", "sx", "sy")
+
+
+def verdict_distribution(results: DataFrame, first: str, second: str) -> DataFrame:
+    """How often each verdict occurs: that of the first column, or where it is blank the second's, or 'unknown'."""
+    filled = lambda c: F.nullif(F.btrim(F.col(c)), F.lit(""))
+    return results.groupBy(F.coalesce(filled(first), filled(second), F.lit("unknown")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def result_buckets(compared: Column, boxes: Column) -> Column:
+    """struct<mismatches, reviews> of compared regions (array<struct<decision, needs_review>>); without any, each predicted box counts as a mismatch."""
+    review = lambda c: F.coalesce(c["needs_review"], F.lit(False))
+    some = F.size(F.coalesce(compared, F.array().cast("array<struct<decision:string,needs_review:boolean>>"))) > 0
+    mismatches = F.size(F.filter(compared, lambda c: (c["decision"] == "mismatch") & ~review(c)))
+    reviews = F.size(F.filter(compared, lambda c: (c["decision"] == "unknown") | review(c)))
+    return F.struct(F.when(some, mismatches).otherwise(F.greatest(F.size(F.coalesce(boxes, F.array().cast("array<string>"))), F.lit(0))).alias("mismatches"), F.when(some, reviews).otherwise(0).alias("reviews"))
+
+
+def split_regions(regions: DataFrame, barcode: Column, parts: Column) -> tuple[DataFrame, DataFrame]:
+    """(comparable regions, skipped ones with ``reason``) of regions (original_idx, box).
+
+    parts: array<struct<box, barcode>> of the children of a mixed region, else null or empty. Children of both sorts stand for their region on either
+    side; any other region goes whole, by whether it is a barcode.
+    """
+    both = F.exists(parts, lambda p: p["barcode"]) & F.exists(parts, lambda p: ~p["barcode"])
+    whole = F.array(F.struct(F.col("box").alias("box"), barcode.alias("barcode")))
+    each = regions.withColumn("_p", F.explode(F.when(F.coalesce(both, F.lit(False)), parts).otherwise(whole)))
+    each = each.withColumn("box", F.col("_p.box")).withColumn("_b", F.col("_p.barcode")).drop("_p")
+    return each.filter(~F.col("_b")).drop("_b"), each.filter("_b").withColumn("reason", F.lit("barcode")).drop("_b")
+
+
+def barcode_cluster(children: DataFrame, by: list[str]) -> DataFrame:
+    """For each parent (by) of fragments (aspect, h, dark, parent_aspect, parent_h): whether they look like the bars of a barcode: a long parent, three fragments or more, most of them narrow, and as tall as half the parent."""
+    n = F.count(F.lit(1))
+    narrow, tall = F.count_if(F.col("aspect") < 0.7), F.count_if(F.col("h") >= F.col("parent_h") * 0.5)
+    return children.groupBy(*by).agg((n >= 3).alias("_several"), (F.max("parent_aspect") >= 2.8).alias("_long"), (narrow * 2 >= n).alias("_narrow"), (tall * 2 >= n).alias("_tall")).select(*by, (F.col("_several") & F.col("_long") & F.col("_narrow") & F.col("_tall")).alias("cluster"))
+
+
+def picked(rows: DataFrame, order: list[Column], index: int, *conditions: Column | None) -> DataFrame:
+    """The row at ``index`` of those that pass every condition given; none where the index is beyond them."""
+    for c in conditions:
+        rows = rows if c is None else rows.filter(c)
+    return rows.orderBy(*order).offset(index).limit(1) if index >= 0 else rows.limit(0)
+
+
+def any_failed(checks: DataFrame) -> DataFrame:
+    """One row over checks (name, ok): how many there are, and whether any failed; a null counts as failed."""
+    return checks.agg(F.count(F.lit(1)).alias("checks"), F.coalesce(F.bool_or(~F.coalesce(F.col("ok"), F.lit(False))), F.lit(False)).alias("failed"))

@@ -229,3 +229,11 @@ def best_band(scored: DataFrame, by: list[str], score: str, least: float, band:
     """Rows at or above ``least`` whose score is within ``band`` of the group's best; exact ones (score 1) alone where there are any."""
     top = F.max(score).over(W.partitionBy(*by))
     return scored.withColumn("_top", top).filter((F.col(score) >= least) & F.when(F.col("_top") >= 1, F.col(score) >= 1).otherwise(F.col(score) >= F.col("_top") - band)).drop("_top")
+
+
+def set_ratios(left: DataFrame, right: DataFrame, matches: DataFrame, case: list[str]) -> DataFrame:
+    """For each case of either set: the sizes of both, the matches, recall (of the left set) and precision (of the right); an empty set gives 0."""
+    n = lambda df, name: df.groupBy(*case).agg(F.count(F.lit(1)).alias(name))
+    out = n(left, "left_size").join(n(right, "right_size"), case, "full").join(n(matches, "matched"), case, "left").na.fill(0, ["left_size", "right_size", "matched"])
+    part = lambda of: F.when(F.col(of) > 0, F.col("matched") / F.col(of)).otherwise(0.0)
+    return out.withColumns({"recall": part("left_size"), "precision": part("right_size")})

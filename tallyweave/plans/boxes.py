@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import boxes
 from tallyweave.operators import evaluate, matching, merging
 
-from .tables import BOXES_SQL, PAIRS_SQL, line_boxes, sides, table
+from .tables import BOXES_SQL, PAIRS_SQL, line_boxes, sides, table, taken_in_order
 
 CASE = ["l_orderkey"]
 _MEASURES = ["l_orderkey", "l_idx", "r_idx", "iou", "expected_coverage", "predicted_coverage", "area_ratio"]
@@ -81,7 +81,7 @@ def position_match(spark, sf_dir) -> DataFrame:
         return _unit(rows).select("l_orderkey", "idx", ((b["x1"] + b["x2"]) / 2).alias("cx"), ((b["y1"] + b["y2"]) / 2).alias("cy"), (b["x2"] - b["x1"]).alias("w"), (b["y2"] - b["y1"]).alias("h"))
 
     e, p = sides(line_boxes(spark, sf_dir))
-    return matching.match_positions(items(e), items(p), CASE).select("l_orderkey", "l_idx", "r_idx", "cost")
+    return matching.match_positions(items(e), items(p), CASE).select("l_orderkey", "l_idx", "r_idx", F.round("cost", 9).alias("cost"))
 
 
 def region_sets(spark, sf_dir) -> DataFrame:
@@ -89,6 +89,32 @@ def region_sets(spark, sf_dir) -> DataFrame:
     return matching.compare_sets(*sides(line_boxes(spark, sf_dir)), CASE, 0.2)
 
 
+def region_set_ratios(spark, sf_dir) -> DataFrame:
+    """Recall and precision of two region sets of a case."""
+    e, p = sides(line_boxes(spark, sf_dir))
+    out = matching.set_ratios(e, p, matching.compare_sets(e, p, CASE, 0.2), CASE)
+    return out.select("l_orderkey", "left_size", "right_size", "matched", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))
+
+
+def regions_split(spark, sf_dir) -> DataFrame:
+    """Lines as regions: every fifth a barcode, every third of them mixed of a barcode and a rest."""
+    b = F.col("box")
+    half = lambda x1, x2, c: F.struct(boxes.box(x1, b["y1"], x2, b["y2"]).alias("box"), F.lit(c).alias("barcode"))
+    mid = (b["x1"] + b["x2"]) / 2
+    rows = line_boxes(spark, sf_dir).select("l_orderkey", F.col("idx").alias("original_idx"), "box", (F.col("idx") % 5 == 0).alias("bar"), F.when(F.col("idx") % 3 == 0, F.array(half(b["x1"], mid, True), half(mid, b["x2"], False))).alias("parts"))
+    fine, skipped = evaluate.split_regions(rows, F.col("bar"), F.col("parts"))
+    shown = lambda df, reason: df.select("l_orderkey", "original_idx", F.col("box.x1").alias("x1"), F.col("box.x2").alias("x2"), reason)
+    return shown(fine, F.lit(None).cast("string").alias("reason")).unionByName(shown(skipped, F.col("reason")))
+
+
+def barcode_clusters(spark, sf_dir) -> DataFrame:
+    """Orders as parents, their lines as fragments of the box about them."""
+    about = line_boxes(spark, sf_dir).groupBy("l_orderkey").agg(boxes.union_all(F.col("box")).alias("p")).select("l_orderkey", (boxes.width(F.col("p")) / boxes.height(F.col("p"))).alias("parent_aspect"), boxes.height(F.col("p")).alias("parent_h"))
+    b = F.col("box")
+    rows = line_boxes(spark, sf_dir).select("l_orderkey", (boxes.width(b) / boxes.height(b)).alias("aspect"), boxes.height(b).alias("h"), F.lit(0.5).alias("dark")).join(about, "l_orderkey")
+    return evaluate.barcode_cluster(rows, CASE)
+
+
 def nearest_line(spark, sf_dir) -> DataFrame:
     e, p = sides(line_boxes(spark, sf_dir))
     found = matching.nearest_line(e, p.select("l_orderkey", "idx", "box"), CASE, most_gap=20.0)
@@ -203,14 +229,28 @@ QUERIES = {
     "extra_predictions": (extra_predictions, f"WITH {PAIRS_SQL} SELECT l_orderkey, idx FROM p WHERE NOT EXISTS (SELECT 1 FROM pairs s WHERE s.l_orderkey = p.l_orderkey AND s.r_idx = p.idx AND expected_coverage >= 0.5)"),
     "strict_candidates": (strict_candidates, f"""WITH {PAIRS_SQL} SELECT l_orderkey, l_idx, r_idx, iou + 0.01 * least(expected_coverage, predicted_coverage) AS score FROM pairs
         WHERE iou >= 0.3 OR (expected_coverage >= 0.5 AND predicted_coverage >= 0.5 AND area_ratio <= 3)"""),
-    "greedy_match": (greedy_match, None),
-    "overlap_match": (overlap_match, None),
-    "closed_loop_match": (closed_loop_match, None),
+    "greedy_match": (greedy_match, f"WITH RECURSIVE {PAIRS_SQL}, " + taken_in_order("""SELECT *, iou + 0.01 * least(expected_coverage, predicted_coverage) AS score FROM pairs WHERE iou >= 0.3 OR (expected_coverage >= 0.5 AND predicted_coverage >= 0.5 AND area_ratio <= 3)""",
+        "l_orderkey", "score DESC, expected_coverage DESC, predicted_coverage DESC, l_idx DESC, r_idx DESC", "l_orderkey, l_idx, r_idx, score")),
+    "overlap_match": (overlap_match, f"WITH RECURSIVE {PAIRS_SQL}, " + taken_in_order("SELECT l_orderkey, l_idx, r_idx, shared / least(ea, pa) AS score FROM i WHERE shared > 0 AND shared / least(ea, pa) >= 0.3",
+        "l_orderkey", "score DESC, l_idx, r_idx", "l_orderkey, l_idx, r_idx, score")),
+    "closed_loop_match": (closed_loop_match, f"WITH RECURSIVE {PAIRS_SQL}, " + taken_in_order("""SELECT s.*, expected_coverage + 0.01 * iou AS score FROM pairs s JOIN e ON e.l_orderkey = s.l_orderkey AND e.idx = s.l_idx
+        WHERE expected_coverage >= CASE WHEN kind = 'text' THEN 0.3 ELSE 0.7 END""", "l_orderkey", "l_idx, score DESC, r_idx", "l_orderkey, l_idx, r_idx, score")),
     "missing_boxes": (missing_boxes, f"WITH {PAIRS_SQL} SELECT l_orderkey, idx FROM e WHERE NOT EXISTS (SELECT 1 FROM pairs s WHERE s.l_orderkey = e.l_orderkey AND s.l_idx = e.idx AND expected_coverage >= 0.5)"),
     "region_assignment": (region_assignment, None),
     "region_costs": (region_costs, f"WITH {BOXES_SQL} SELECT l_orderkey, e.idx AS l_idx, p.idx AS r_idx, round({_COST}, 9) AS cost FROM e JOIN p USING (l_orderkey)"),
-    "position_match": (position_match, None),
-    "region_sets": (region_sets, None),
+    "position_match": (position_match, f"WITH RECURSIVE {BOXES_SQL}, q AS (SELECT l_orderkey, idx, x1 * (1.0::DOUBLE / 60) AS x1, x2 * (1.0::DOUBLE / 60) AS x2, y1 * (1.0::DOUBLE / 30) AS y1, y2 * (1.0::DOUBLE / 30) AS y2 FROM b), " + taken_in_order("""SELECT * FROM (
+        SELECT s.l_orderkey, s.idx AS l_idx, t.idx AS r_idx, abs((s.y1 + s.y2) / 2 - (t.y1 + t.y2) / 2) AS gy, abs((s.x1 + s.x2) / 2 - (t.x1 + t.x2) / 2) AS gx, greatest(s.y2 - s.y1, t.y2 - t.y1) AS h, greatest(s.x2 - s.x1, t.x2 - t.x1) AS w,
+        gy * 1.8 + gx + abs((s.x2 - s.x1) - (t.x2 - t.x1)) * 0.35 + abs((s.y2 - s.y1) - (t.y2 - t.y1)) * 0.25 AS cost FROM q s JOIN q t USING (l_orderkey) WHERE s.idx % 2 = 1 AND t.idx % 2 = 0)
+        WHERE gy <= greatest(0.035, h * 0.95) AND gx <= greatest(0.1, w * 0.9) AND cost <= 0.16""", "l_orderkey", "cost, l_idx, r_idx", "l_orderkey, l_idx, r_idx, round(cost, 9) AS cost")),
+    "region_sets": (region_sets, f"WITH RECURSIVE {PAIRS_SQL}, " + taken_in_order("SELECT * FROM pairs", "l_orderkey", "l_idx, iou DESC, r_idx", "l_orderkey, l_idx, r_idx, iou", "r.iou >= 0.2", True)),
+    "region_set_ratios": (region_set_ratios, f"""WITH RECURSIVE {PAIRS_SQL}, m AS (SELECT l_orderkey, count(*) AS matched FROM (WITH RECURSIVE {taken_in_order("SELECT * FROM pairs", "l_orderkey", "l_idx, iou DESC, r_idx", "l_orderkey", "r.iou >= 0.2", True)}) GROUP BY l_orderkey),
+        n AS (SELECT l_orderkey, count(*) FILTER (idx % 2 = 1) AS left_size, count(*) FILTER (idx % 2 = 0) AS right_size FROM b GROUP BY l_orderkey)
+        SELECT l_orderkey, left_size, right_size, coalesce(matched, 0) AS matched, round(CASE WHEN left_size > 0 THEN coalesce(matched, 0) / left_size ELSE 0 END, 9) AS recall,
+            round(CASE WHEN right_size > 0 THEN coalesce(matched, 0) / right_size ELSE 0 END, 9) AS precision FROM n LEFT JOIN m USING (l_orderkey)"""),
+    "regions_split": (regions_split, f"""WITH {BOXES_SQL} SELECT l_orderkey, idx AS original_idx, x1, x2, CASE WHEN idx % 5 = 0 THEN 'barcode' END AS reason FROM b WHERE idx % 3 <> 0
+        UNION ALL SELECT l_orderkey, idx, x1, (x1 + x2) / 2, 'barcode' FROM b WHERE idx % 3 = 0 UNION ALL SELECT l_orderkey, idx, (x1 + x2) / 2, x2, NULL FROM b WHERE idx % 3 = 0"""),
+    "barcode_clusters": (barcode_clusters, f"""WITH {BOXES_SQL}, u AS (SELECT l_orderkey, max(x2) - min(x1) AS w, max(y2) - min(y1) AS h FROM b GROUP BY l_orderkey)
+        SELECT l_orderkey, count(*) >= 3 AND max(u.w / u.h) >= 2.8 AND count(*) FILTER ((x2 - x1) / (y2 - y1) < 0.7) * 2 >= count(*) AND count(*) FILTER (y2 - y1 >= u.h * 0.5) * 2 >= count(*) AS cluster FROM b JOIN u USING (l_orderkey) GROUP BY l_orderkey"""),
     "nearest_line": (nearest_line, f"""WITH {BOXES_SQL}, s AS (SELECT a.l_orderkey, a.idx AS l_idx, b.idx AS r_idx,
             CASE WHEN a.cx BETWEEN b.x1 AND b.x2 AND a.cy BETWEEN b.y1 AND b.y2 THEN 10 + {_S} / a.area
                  WHEN {_S} / a.area >= 0.2 THEN 1 + {_S} / a.area

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyweave.functions import boxes, extract, text
 from tallyweave.operators import evaluate, pairing, review
+from tallyweave.sources import documents as sources
 from tallyweave.streaming import events as streaming
 
 from .tables import table
@@ -84,6 +87,110 @@ def variants(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.variant_of(stem, code).alias("variant"))
 
 
+def templates_found(spark, sf_dir) -> DataFrame:
+    """Orders of one customer, asked for by a code as it was typed."""
+    t = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("code"), "o_orderkey")
+    return pairing.find_by_code(t, " 7 ").unionByName(pairing.find_by_code(t, "  "))
+
+
+def template_catalogue(spark, sf_dir) -> DataFrame:
+    """Parts as template files, some with a variant, some as pictures, some of no known kind."""
+    k = F.col("p_partkey")
+    code = F.lpad(k.cast("string"), 6, "0")
+    stem = F.concat(code, F.when(k % 3 == 0, "-b").otherwise(""))
+    files = table(spark, sf_dir, "part").select(F.concat(stem, F.when(k % 2 == 0, ".PDF").otherwise(".png")).alias("path"), stem.alias("stem"), F.when(k % 5 == 0, ".txt").when(k % 2 == 0, ".PDF").otherwise(".png").alias("suffix"))
+    return pairing.catalogue(files).select("code", "variant", "source_type", "is_default", "stem")
+
+
+def _shared(spark, name: str) -> str:
+    """A new folder where files of a query go."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def case_documents(spark, sf_dir) -> DataFrame:
+    """Nations written as one JSON object to a file, a broken file among them, and read back: the documents, and the rejects counted."""
+    at = _shared(spark, "case-documents")
+    rows = table(spark, sf_dir, "nation").select(F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("value"), "n_nationkey")
+    rows = rows.withColumn("value", F.when(F.col("n_nationkey") % 10 == 9, F.lit('{"id": ')).otherwise(F.concat(F.lit("\ufeff"), "value")))
+    rows.repartitionByRange(1000, "n_nationkey").select("value", F.col("n_nationkey").alias("case")).write.partitionBy("case").text(at)
+    found, rejects = sources.documents(spark, at, "id long, name string", "*.txt")
+    return found.select("id", "name").unionByName(rejects.agg(F.count(F.lit(1)).alias("id")).select("id", F.lit("rejects").alias("name")))
+
+
+def csv_manifest(spark, sf_dir) -> DataFrame:
+    """Suppliers as a CSV manifest with a header, written and read."""
+    at = _shared(spark, "csv-manifest")
+    sources.write_manifest(table(spark, sf_dir, "supplier"), at, ["s_suppkey", "s_nationkey"])
+    return spark.read.csv(at, header=True, schema="s_suppkey long, s_nationkey long")
+
+
+def manifest_samples(spark, sf_dir) -> DataFrame:
+    """Samples of several manifests, a blank id among them; of those that two hold the root's wins."""
+    li = table(spark, sf_dir, "nation")
+    sample = F.struct(F.when(F.col("n_nationkey") % 7 == 0, " ").otherwise(F.concat(F.lit("s"), (F.col("n_nationkey") % 9).cast("string"))).alias("sample_id"), F.col("n_nationkey").alias("n"))
+    manifests = li.groupBy(F.concat(F.lit("m"), (F.col("n_regionkey")).cast("string")).alias("path")).agg(F.collect_list(sample).alias("samples"))
+    one = sources.manifest_cases(manifests).groupBy("manifest", "sample_id").agg(F.min("n").alias("n"))
+    return sources.winning_manifests(one, "m2").select("manifest", "sample_id", "n")
+
+
+def export_lines(spark, sf_dir) -> DataFrame:
+    """Lines of an export file, of regions, with quotes, comments and other lines."""
+    at = _shared(spark, "exports")
+    k = F.col("r_regionkey").cast("string")
+    line = F.explode(F.array(F.concat(F.lit("export R_"), k, F.lit("='"), F.col("r_name"), F.lit("'")), F.concat(F.lit("# R="), k), F.concat(F.lit("P"), k, F.lit(" = 1")), F.concat(F.lit("Q"), k, F.lit("= a=b "))))
+    table(spark, sf_dir, "region").select(line.alias("value")).write.text(at)
+    return sources.exports(spark, at)
+
+
+def ocr_boxes(spark, sf_dir) -> DataFrame:
+    """Payloads with more boxes than texts and scores."""
+    k = F.col("c_custkey")
+    payload = table(spark, sf_dir, "customer").select("c_custkey", F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.array(F.array(i.cast("double"), F.lit(0.0)))).alias("boxes"), F.array("c_name", "c_mktsegment").alias("texts"), F.array(F.lit(0.5)).alias("scores"))
+    return sources.ocr_items(payload, ["c_custkey"]).select("c_custkey", "idx", "text", "score", F.get(F.get("poly", F.lit(0)), F.lit(0)).alias("x"))
+
+
+def files_listed(spark, sf_dir) -> DataFrame:
+    """Files under two roots, one of which is not there, by suffix."""
+    at = _shared(spark, "listing")
+    table(spark, sf_dir, "region").select(F.col("r_name").alias("value"), F.col("r_regionkey").alias("r")).write.partitionBy("r").text(at)
+    found = sources.listing(spark, [at, f"{at}-none"], (".TXT",))
+    return found.select(F.regexp_extract("path", "r=([0-9]+)", 1).cast("long").alias("r"), "suffix", "length")
+
+
+def history_numbers(spark, sf_dir) -> DataFrame:
+    """Two batches of entries appended to a history."""
+    at = _shared(spark, "history")
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("at"))
+    sources.append_history(n.filter("at < 10"), at)
+    return sources.append_history(n.filter("at >= 10"), at).select("name", "seq")
+
+
+def verdict_fallback(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).otherwise(" ").alias("a"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("b"))
+    return evaluate.verdict_distribution(rows, "a", "b")
+
+
+def result_buckets(spark, sf_dir) -> DataFrame:
+    """Lines of an order as compared regions; of every fourth order none was compared, and its lines are predicted boxes."""
+    d = F.when(F.col("l_returnflag") == "N", "match").when(F.col("l_returnflag") == "R", "mismatch").otherwise("unknown")
+    seen = F.col("l_orderkey") % 4 != 0
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(seen, F.struct(d.alias("decision"), (F.col("l_linestatus") == "O").alias("needs_review")))).alias("c"), F.collect_list(F.col("l_linenumber").cast("string")).alias("b"))
+    out = evaluate.result_buckets(F.col("c"), F.col("b"))
+    return rows.select("l_orderkey", out["mismatches"].alias("mismatches"), out["reviews"].alias("reviews"))
+
+
+def picked_camera(spark, sf_dir) -> DataFrame:
+    """Suppliers as cameras: the third of a nation's with money, and the hundredth thousandth, which is not there."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    some = [F.col("s_nationkey") < 20, None, F.col("s_acctbal") > 0]
+    return evaluate.picked(s, [F.col("s_suppkey")], 2, *some).unionByName(evaluate.picked(s, [F.col("s_suppkey")], 10**8, *some))
+
+
+def check_list(spark, sf_dir) -> DataFrame:
+    return evaluate.any_failed(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_acctbal") > -2000).alias("ok")))
+
+
 # ---- texts
 
 
@@ -346,6 +453,23 @@ _EVAL = """ev AS (SELECT l_orderkey, count(*) AS expected_count, count(*) FILTER
 _KEYS = "k AS (SELECT user_id AS device, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'Enter' WHEN 'error' THEN 'Escape' ELSE substr(event_type, 1, 1) END AS key FROM events)"
 
 QUERIES = {
+    "templates_found": (templates_found, "SELECT CAST(o_custkey AS VARCHAR) AS code, o_orderkey FROM orders WHERE o_custkey = 7"),
+    "template_catalogue": (template_catalogue, """WITH p AS (SELECT p_partkey AS k, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code FROM part)
+        SELECT code, CASE WHEN k % 3 = 0 THEN 'b' END AS variant, CASE WHEN k % 2 = 0 THEN 'pdf' ELSE 'image' END AS source_type, k % 3 <> 0 AS is_default, code || CASE WHEN k % 3 = 0 THEN '-b' ELSE '' END AS stem FROM p WHERE k % 5 <> 0"""),
+    "case_documents": (case_documents, "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey % 10 <> 9 UNION ALL SELECT count(*), 'rejects' FROM nation WHERE n_nationkey % 10 = 9"),
+    "csv_manifest": (csv_manifest, "SELECT s_suppkey, s_nationkey FROM supplier"),
+    "manifest_samples": (manifest_samples, """WITH s AS (SELECT 'm' || n_regionkey AS manifest, 's' || (n_nationkey % 9) AS sample_id, min(n_nationkey) AS n FROM nation WHERE n_nationkey % 7 <> 0 GROUP BY 1, 2)
+        SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY manifest <> 'm2', manifest) = 1"""),
+    "export_lines": (export_lines, "SELECT 'R_' || r_regionkey AS key, r_name AS value FROM region UNION ALL SELECT 'Q' || r_regionkey, 'a=b' FROM region"),
+    "ocr_boxes": (ocr_boxes, """WITH i AS (SELECT *, unnest(generate_series(0, c_custkey % 4)) AS i FROM customer)
+        SELECT c_custkey, CAST(i AS INT) AS idx, CASE i WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE '' END AS text, CASE WHEN i = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score, i::DOUBLE AS x FROM i"""),
+    "files_listed": (files_listed, "SELECT r_regionkey AS r, '.txt' AS suffix, CAST(strlen(r_name) + 1 AS BIGINT) AS length FROM region"),
+    "history_numbers": (history_numbers, "SELECT n_name AS name, n_nationkey + 1 AS seq FROM nation"),
+    "verdict_fallback": (verdict_fallback, "SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'unknown' END AS verdict, count(*) AS n FROM orders GROUP BY 1"),
+    "result_buckets": (result_buckets, """SELECT l_orderkey, CAST(CASE WHEN l_orderkey % 4 = 0 THEN count(*) ELSE count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'O') END AS INT) AS mismatches,
+        CAST(CASE WHEN l_orderkey % 4 = 0 THEN 0 ELSE count(*) FILTER (l_returnflag NOT IN ('N', 'R') OR l_linestatus = 'O') END AS INT) AS reviews FROM lineitem GROUP BY l_orderkey"""),
+    "picked_camera": (picked_camera, "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey < 20 AND s_acctbal > 0 ORDER BY s_suppkey LIMIT 1 OFFSET 2"),
+    "check_list": (check_list, "SELECT count(*) AS checks, bool_or(s_acctbal <= -2000) AS failed FROM supplier"),
     "pair_all": (pair_all, "SELECT o_orderkey AS code, o_orderpriority, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
     "pair_best": (pair_best, """WITH t AS (SELECT o_custkey AS code, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus, o_orderkey) = 1),
         g AS (SELECT o_custkey AS code, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)

@@ -49,3 +49,17 @@ PAIRS_SQL = f"""{BOXES_SQL},
         FROM e JOIN p USING (l_orderkey)),
     pairs AS (SELECT l_orderkey, l_idx, r_idx, shared / (ea + pa - shared) AS iou, shared / ea AS expected_coverage,
         shared / pa AS predicted_coverage, pa / ea AS area_ratio FROM i WHERE shared > 0)"""
+
+
+def taken_in_order(pairs: str, case: str, order: str, columns: str, keep: str = "true", once: bool = False) -> str:
+    """SQL (after WITH RECURSIVE ...,) of one-to-one matches: the pairs of a case in order, each taken if neither end is used. keep: whether a pair that comes to be judged is kept; once: a left end is judged once even if nothing is kept."""
+    used = "list_contains(w.ul, r.l_idx) OR list_contains(w.ur, r.r_idx)"
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {case} ORDER BY {order}) AS rn FROM ({pairs})),
+    walk({case}, rn, ul, ur, kept) AS (
+        SELECT DISTINCT {case}, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM ranked UNION ALL
+        SELECT w.{case}, r.rn, CASE WHEN {used} OR NOT ({'true' if once else keep}) THEN w.ul ELSE list_append(w.ul, CAST(r.l_idx AS BIGINT)) END,
+            CASE WHEN {used} OR NOT ({keep}) THEN w.ur ELSE list_append(w.ur, CAST(r.r_idx AS BIGINT)) END,
+            CASE WHEN {used} OR NOT ({keep}) THEN w.kept ELSE list_append(w.kept, r.rn) END
+        FROM walk w JOIN ranked r ON r.{case} = w.{case} AND r.rn = w.rn + 1),
+    done AS (SELECT {case}, unnest(arg_max(kept, rn)) AS rn FROM walk GROUP BY {case})
+    SELECT {columns} FROM done JOIN ranked USING ({case}, rn)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,23 @@ def manifest_cases(manifests: DataFrame) -> DataFrame:
     return each.filter(F.btrim(F.coalesce("sample_id", F.lit(""))) != "").orderBy("sample_id")
 
 
+def winning_manifests(manifests: DataFrame, root: str) -> DataFrame:
+    """Of samples (manifest, sample_id, ...) that several manifests hold, those of the root's own manifest, else of the first in order of path."""
+    place = F.row_number().over(W.partitionBy("sample_id").orderBy(F.col("manifest") != root, "manifest"))
+    return manifests.withColumn("_n", place).filter("_n = 1").drop("_n")
+
+
+def append_history(entries: DataFrame, path: str, seq: str = "seq") -> DataFrame:
+    """The history at ``path`` with the entries appended, each numbered after those before it, in the order of the entries' own ``at``."""
+    spark = entries.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    last = (spark.read.parquet(path).agg(F.max(seq)).first()[0] or 0) if there else 0
+    numbered = entries.withColumn(seq, (F.row_number().over(W.orderBy("at")) + last).cast("long"))  # a history has as many entries as a person makes
+    numbered.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def exports(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of lines 'export K=V' or 'K=V'; comments and other lines are passed over, quotes about a value go."""
     line = F.regexp_replace(F.btrim("value"), r"^export\s+", "")
