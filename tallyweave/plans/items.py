@@ -102,7 +102,7 @@ QUERIES = {
         WHERE ((p.cx BETWEEN e.x1 - 10 AND e.x2 + 10 AND p.cy BETWEEN e.y1 - 8 AND e.y2 + 8) OR {_O} / p.area >= 0.35 OR {_O} / e.area >= 0.2) AND {_ROW} >= 0.35"""),
     "values_beside": (values_beside, f"""WITH {BOXES_SQL}, v AS (SELECT *, CASE WHEN idx % 4 = 0 THEN '220V' WHEN kind = 'text' THEN '110 v' END AS value FROM p),
         s AS (SELECT e.l_orderkey, e.idx AS l_idx, p.idx AS r_idx, p.value, abs(e.y1 + e.y2 - p.y1 - p.y2) / 2 / 30 + greatest(p.x1 - e.x2, 0) / 60 AS far FROM e JOIN v p USING (l_orderkey)
-            WHERE p.cx > e.x2 AND value IS NOT NULL AND ({_ROW} >= 0.25 OR abs(e.cy - p.cy) <= greatest(e.y2 - e.y1, p.y2 - p.y1, 1) * 0.7))
+            WHERE p.cx > e.x2 AND value IS NOT NULL AND ({_ROW} >= 0.25 OR abs(e.y1 + e.y2 - p.y1 - p.y2) / 2 <= greatest(e.y2 - e.y1, p.y2 - p.y1, 1) * 0.7))
         SELECT l_orderkey, l_idx, r_idx, value FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_idx ORDER BY far, r_idx) = 1"""),
     "address_lines": (address_lines, f"""WITH {BOXES_SQL}, s AS (SELECT l_orderkey, idx, idx % 3 = 0 AS says, (x2 - x1) / 60 AS wide, y2 / 14 AS low, x1 FROM b)
         SELECT l_orderkey, idx FROM s WHERE (says OR (low >= 0.92 AND wide >= 0.35)) AND x1 <= 20 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY wide + low + CASE WHEN says THEN 0.5 ELSE 0 END DESC, idx DESC) = 1"""),
