@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch: bounds what a Python worker holds of whole texts.
 ARROW_ROWS = 1000
 #: Bytes of one, unless a single row has more.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
