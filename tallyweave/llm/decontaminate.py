@@ -189,18 +189,22 @@ def blocks_of(benchmark: DataFrame, id_col: str, text: str, block_words: int) ->
     return [f"{path}/block={r['block']}" for r in dealt.select("block").distinct().orderBy("block").collect()]
 
 
-HITS = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
+HITS = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>,cut:string>"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
-def _hits(block: str | None, text: Column, window: int) -> Column:
-    """n_words, spans (of words) and items of each text against one block, or none."""
+def _hits(block: str | None, text: Column, window: int, cut: bool = False) -> Column:
+    """n_words, spans (of words) and items of each text against one block, or none; if ``cut``, the text without the spans, where there are any.
+
+    All in one pass, and marked as not to be repeated: else a filter on the spans has the texts read once more, and each function that follows
+    another has two more workers an executor, which stay for the stages after.
+    """
 
     @F.arrow_udf(HITS)
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         auto = _automaton(block, window) if block else Automaton([], window)
         for batch in texts:
-            counts, starts, ends, items, ends_at = [], [], [], [], [0]
+            counts, starts, ends, items, ends_at, left = [], [], [], [], [0], []
             for t in batch.to_pylist():
                 words = words_of(t)
                 spans, found = auto.hits(words)
@@ -209,11 +213,12 @@ def _hits(block: str | None, text: Column, window: int) -> Column:
                 ends += [x for _, x in spans]
                 ends_at.append(len(starts))
                 items.append(sorted(found))
+                left.append(without(t, spans) if cut and spans else None)
             flat = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=list(_SPAN))
             lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), flat)
-            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), lists, pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), lists, pa.array(items, pa.list_(pa.string())), pa.array(left, pa.string())], ["n_words", "spans", "items", "cut"])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -225,15 +230,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("d
     that repeat are each judged. No items: no hits; no documents: no rows. Columns of ``keep`` that are called n_words,
     spans or items give way. Nothing is shuffled while the items fit one automaton.
     """
+    return _found(docs, benchmark, keep, text, item_id, item_text, window, block_words)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: str, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
+    """find_hits; if ``cut``, also cut_text: the text without its spans, null where it has none."""
     spark = docs.sparkSession
     shared.arrow_batches(spark)
     own = {c: f"k{i}" for i, c in enumerate(c for c in keep if c not in ("n_words", "spans", "items"))}  # the caller's columns under names of ours until the end
     named = docs.select(*[F.col(c).alias(n) for c, n in own.items()], F.col(text).alias("_text"))
-    back = lambda df: df.select(*[F.col(n).alias(c) for c, n in own.items()], "n_words", "spans", "items")
+    back = lambda df: df.select(*[F.col(n).alias(c) for c, n in own.items()], "n_words", "spans", "items", *[F.col("cut").alias("cut_text")] * cut)
     blocks = blocks_of(benchmark, item_id, item_text, block_words)
     flat = ["_h.n_words", "_h.spans", "_h.items"]
     if len(blocks) < 2:
-        return back(named.select("*", _hits(blocks[0] if blocks else None, F.col("_text"), window).alias("_h")).select(*own.values(), *flat))
+        return back(named.select("*", _hits(blocks[0] if blocks else None, F.col("_text"), window, cut).alias("_h")).select(*own.values(), *flat, "_h.cut"))
     rows = shared.written(named.withColumn("_rid", F.monotonically_increasing_id()), "decon-docs")
     at = shared.fresh_path(spark, "decon-passes")
     for place, block in enumerate(blocks):
@@ -241,7 +251,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("d
         one.filter((F.size("spans") > 0) | F.lit(place == 0)).write.mode("append").parquet(at)
     found = spark.read.parquet(at)
     items = found.groupBy("_rid").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    out = rows.drop("_text").join(items, "_rid").join(_united(found.select("_rid", F.explode("spans").alias("s"))), "_rid", "left")
+    out = (rows if cut else rows.drop("_text")).join(items, "_rid").join(_united(found.select("_rid", F.explode("spans").alias("s"))), "_rid", "left")
+    if cut:
+        out = out.withColumn("cut", _cut(F.when(F.col("spans").isNotNull(), F.col("_text")), F.col("spans")))
     return back(out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))))
 
 
@@ -269,28 +281,27 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_
     keep = tuple(docs.columns)
     own = {c: f"c{i}" for i, c in enumerate(keep)}  # the caller's columns under names of ours until the end
     renamed = docs.select(*[F.col(c).alias(n) for c, n in own.items()])
-    found = find_hits(renamed, benchmark, tuple(own.values()), own[text], window=window, **columns)
+    found = _found(renamed, benchmark, tuple(own.values()), own[text], window=window, cut=True, **columns)
     total = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
     found = found.filter(~((F.size("spans") > 0) & (total > F.col("n_words") * F.lit(max_coverage))))
-    t, hit = own[text], F.size("spans") > 0
-    found = found.withColumn("_new", _cut(F.when(hit, F.col(t)), F.when(hit, F.col("spans"))))
-    out = found.withColumn(t, F.coalesce("_new", F.col(t)))
+    t = own[text]
+    out = found.withColumn(t, F.coalesce("cut_text", F.col(t)))
     if n_chars and n_chars in own:
         n = own[n_chars]
-        out = out.withColumn(n, F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n)))
+        out = out.withColumn(n, F.when(F.col("cut_text").isNotNull(), F.length("cut_text").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n)))
     return out.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 @F.arrow_udf(T.StringType())
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """The texts without the spans of words; null where the text is null."""
-    return pa.array([None if t is None else without(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+    return pa.array([None if t is None else without(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
-def without(text: str, spans: list[dict]) -> str:
+def without(text: str, spans: list[tuple[int, int]]) -> str:
     places = [m.span() for m in _WORD.finditer(text)]
     out, last = [], 0
-    for s in spans:
-        out.append(text[last : places[s["start"]][0]].rstrip())
-        last = places[s["end"] - 1][1]
+    for start, end in spans:
+        out.append(text[last : places[start][0]].rstrip())
+        last = places[end - 1][1]
     return " ".join(x for x in [*out, text[last:].lstrip()] if x)
