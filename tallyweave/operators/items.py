@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -108,16 +111,29 @@ def off_lower_lines(candidates: DataFrame, items: DataFrame, case: list[str], im
     return candidates.join(hit.select(*case, F.col("l_idx").alias("idx")), [*case, "idx"], "left_anti")
 
 
+#: The runs of more items than this are looked up, not walked for.
+WALKED = 256
+
+
 def chains(items: list[tuple[int, tuple[float, float, float, float]]], longest: int = 4) -> list[tuple[int, ...]]:
-    """Runs of items that may be the words of one caption: each alone, and from each one rightwards on its row while gaps are small."""
+    """Runs of items that may be the words of one caption: each alone, and from each one rightwards on its row while gaps are small.
+
+    An item with a side that is no finite number stands alone.
+    """
+    line = sorted((it for it in items if all(map(math.isfinite, it[1]))), key=lambda it: (it[1][0], it[1][1] + it[1][3]))
+    runs = _walked(line, longest) if len(line) <= WALKED else _looked_up(line, longest)
+    return list(dict.fromkeys([(i,) for i, _ in items] + runs))
+
+
+def _walked(line: list[tuple], longest: int) -> list[tuple[int, ...]]:
+    """The runs of two items or more, by a walk along the line from each item."""
     h = lambda b: max(b[3] - b[1], 1.0)
 
     def same_row(a, b) -> bool:
         shared = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
         return shared >= 0.45 * min(h(a), h(b)) and abs(a[1] + a[3] - b[1] - b[3]) / 2 <= 0.55 * max(h(a), h(b))
 
-    out = [(i,) for i, _ in items]
-    line = sorted(items, key=lambda it: (it[1][0], it[1][1] + it[1][3]))
+    out = []
     for k, (i, start) in enumerate(line):
         run, last = [i], start
         for j, b in line[k + 1 :]:
@@ -132,7 +148,102 @@ def chains(items: list[tuple[int, tuple[float, float, float, float]]], longest:
                 last = b
             elif gap >= 0:  # nothing further right can be nearer
                 break
-    return list(dict.fromkeys(out))
+    return out
+
+
+class _Places:
+    """Places in a line by the middles of their items, as a wavelet matrix: for many ranges of middles at once, the least place that is not before a given one.
+
+    A look-up reads each bit of a place twice, however many items lie in the range.
+    """
+
+    def __init__(self, middles: np.ndarray, places: np.ndarray):
+        order = np.lexsort((places, middles))
+        self.middles, v = middles[order], places[order]
+        self.levels = []
+        for bit in range(int(v.max()).bit_length(), -1, -1):
+            one = (v >> bit) & 1
+            self.levels.append((bit, np.concatenate(([0], np.cumsum(1 - one)))))
+            v = np.concatenate((v[one == 0], v[one == 1]))
+
+    def first(self, low: np.ndarray, high: np.ndarray, least: np.ndarray, none: int) -> np.ndarray:
+        """The first place from ``least`` on whose middle is from ``low`` to ``high``, else ``none``."""
+        left = np.searchsorted(self.middles, low, "left")
+        right = np.maximum(np.searchsorted(self.middles, high, "right"), left)
+        least = np.minimum(least, (1 << len(self.levels)) - 1)
+        before, a, z = np.zeros(len(low), np.int64), left, right
+        for bit, zeros in self.levels:
+            a0, z0, one = zeros[a], zeros[z], (least >> bit) & 1 == 1
+            before += np.where(one, z0 - a0, 0)
+            a, z = np.where(one, zeros[-1] + a - a0, a0), np.where(one, zeros[-1] + z - z0, z0)
+        rank, out, a, z = before, np.zeros(len(low), np.int64), left, right
+        for bit, zeros in self.levels:
+            a0, z0 = zeros[a], zeros[z]
+            one = rank >= z0 - a0
+            rank, out = np.where(one, rank - (z0 - a0), rank), out | one.astype(np.int64) << bit
+            a, z = np.where(one, zeros[-1] + a - a0, a0), np.where(one, zeros[-1] + z - z0, z0)
+        return np.where(before < right - left, out, none)
+
+
+def _looked_up(line: list[tuple], longest: int) -> list[tuple[int, ...]]:
+    """What ``_walked`` gives, in the same order, without passing the items between: all runs take each step at once.
+
+    A step leads to the first item on the start's row that goes on from the last one or lies wholly right of it. Items of similar height share an index, asked for a range
+    of middles that holds all that can be on the row; what it finds is tested as in a walk and, where it fails, asked again from the place after.
+    """
+    n, ids = len(line), [i for i, _ in line]
+    x1, y1, x2, y2 = np.array([b for _, b in line], np.float64).T
+    h, middle = np.maximum(y2 - y1, 1.0), (y1 + y2) / 2
+    slack_x, slack_y = 1e-9 * max(np.abs(x1).max(), np.abs(x2).max()), 1e-9 * max(np.abs(y1).max(), np.abs(y2).max())
+    kind = np.floor(np.log2(h) * 4)
+    groups = [(h[own].max(), _Places(middle[own], own)) for own in (np.flatnonzero(kind == k) for k in np.unique(kind))]
+
+    def same_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared = np.maximum(0.0, np.minimum(y2[a], y2[b]) - np.maximum(y1[a], y1[b]))
+        return (shared >= 0.45 * np.minimum(h[a], h[b])) & (np.abs(y1[a] + y2[a] - y1[b] - y2[b]) / 2 <= 0.55 * np.maximum(h[a], h[b]))
+
+    def follows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        tall, gap = np.maximum(h[a], h[b]), x1[b] - x2[a]
+        return same_row(a, b) & (-0.6 * tall <= gap) & (gap <= np.maximum(48.0, 1.25 * tall))
+
+    def first(start: np.ndarray, last: np.ndarray, back: bool, end: np.ndarray) -> np.ndarray:
+        """The first place before ``end`` on the start's row: with ``back``, of those that overlap the last item a little and go on from it, else of those right of it."""
+        best = end.copy()
+        for tallest, places in groups:
+            # two that share 0.45 of the lower one's height have middles no further apart than this
+            far = lambda a: np.maximum(h[a], tallest) / 2 + 0.05 * np.minimum(h[a], tallest) + slack_y  # noqa: B023, E731
+            low, high = middle[start] - far(start), middle[start] + far(start)
+            at = x2[last]
+            if back:
+                low, high = np.maximum(low, middle[last] - far(last)), np.minimum(high, middle[last] + far(last))
+                at = at - 0.6 * np.maximum(h[last], tallest) - slack_x
+            at, run = np.maximum(np.searchsorted(x1, at, "left"), last + 1), np.arange(len(start))
+            while len(run):
+                q = places.first(low[run], high[run], at[run], n)
+                nearer = q < best[run]
+                run, q = run[nearer], q[nearer]
+                ok = same_row(start[run], q)
+                if back:
+                    ok &= follows(last[run], q)
+                best[run[ok]] = q[ok]
+                run, q = run[~ok], q[~ok]
+                at[run] = q + 1
+        return best
+
+    steps, firsts, out = [np.arange(n)], [], []
+    while len(steps[0]) and len(steps) < longest:
+        start, last = steps[0], steps[-1]
+        right = np.maximum(np.searchsorted(x1, x2[last], "left"), last + 1)
+        q = first(start, last, True, right)
+        rest = np.flatnonzero(q == right)
+        q[rest] = first(start[rest], last[rest], False, np.full(len(rest), n))
+        on = q < n
+        on[on] = follows(last[on], q[on])
+        steps = [*(s[on] for s in steps), q[on]]
+        firsts.append(steps[0])
+        out += zip(*([ids[p] for p in s.tolist()] for s in steps), strict=True)
+    order = np.argsort(np.concatenate(firsts), kind="stable") if firsts else ()
+    return [out[o] for o in order]
 
 
 def captions(items: DataFrame, case: list[str], fields: tuple[str, ...] = tuple(similarity.CAPTION_PATTERNS)) -> DataFrame:
@@ -142,16 +253,24 @@ def captions(items: DataFrame, case: list[str], fields: tuple[str, ...] = tuple(
 
     def run(rows: list[tuple]) -> list[tuple]:
         held = {r[k]: r for r in rows if (r[k + 1] or "").strip() and r[k + 3] is not None}
+        words = {i: r[k + 1].strip() for i, r in held.items()}
+        sure = {i: s if (s := r[k + 2]) and s == s else 0.0 for i, r in held.items()}
+        # runs of the same words differ in how sure they are alone: the surest stands for all, the first of equals
+        surest: dict[tuple, tuple] = {}
+        for n, chain in enumerate(chains([(i, r[k + 3 :]) for i, r in held.items()])):
+            said, least = tuple([words[i] for i in chain]), min([sure[i] for i in chain])
+            if said not in surest or least > surest[said][0]:
+                surest[said] = (least, -n, chain)
         best: dict[str, tuple] = {}
-        for chain in chains([(i, r[k + 3 :]) for i, r in held.items()]):
-            raw = " ".join(held[i][k + 1].strip() for i in chain)
+        for said, (least, place, chain) in surest.items():
+            raw = " ".join(said)
             size = len("".join(c for c in raw if c.isascii() and c.isalnum()))
             for field in fields:
                 found = similarity.find_caption(field, raw)
                 if found is None:
                     continue
                 own = len("".join(c for c in found[0] if c.isascii() and c.isalnum()))
-                rank = (found[1], found[2], own, -max(size - own, 0), min(held[i][k + 2] or 0.0 for i in chain))
+                rank = (found[1], found[2], own, -max(size - own, 0), least, place)
                 if own and (field not in best or rank > best[field][0]):
                     best[field] = (rank, found[0], list(chain))
         return [(*rows[0][:k], field, caption, idxs) for field, (_, caption, idxs) in best.items()]
