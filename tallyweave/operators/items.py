@@ -18,14 +18,15 @@ from .matching import best_band, overlapping
 def matching_items(values: DataFrame, items: DataFrame, case: list[str], least: float = similarity.LEAST_RATIO) -> DataFrame:
     """The items that give each value (field, value): all of equal key where there are any, else those within 0.01 of the best score.
 
-    Equal keys are an equi-join; only fields without one are scored, against the items of their case.
+    Equal keys are an equi-join; only fields without one are scored. Both go by the texts of a case, each once however many items have it, and the items of a text come last.
     """
     v = values.withColumn("_k", text.match_key(F.col("value"))).filter(F.length("_k") >= 2)
-    i = items.select(*case, "idx", "text", text.match_key(F.col("text")).alias("_k")).filter(F.length("_k") >= 2)
-    exact = v.join(i, [*case, "_k"]).select(*case, "field", "idx", F.lit(1.0).alias("score"))
+    t = items.select(*case, "text").distinct().withColumn("_k", text.match_key(F.col("text"))).filter(F.length("_k") >= 2)
+    exact = v.join(t, [*case, "_k"]).select(*case, "field", "text", F.lit(1.0).alias("score"))
     rest = v.join(exact.select(*case, "field").distinct(), [*case, "field"], "left_anti").drop("_k")
-    scored = rest.join(i.drop("_k"), case).withColumn("score", similarity.value_score(F.col("value"), F.col("text"), F.col("field")))
-    return exact.unionByName(best_band(scored.select(*case, "field", "idx", "score"), [*case, "field"], "score", least))
+    scored = rest.join(t.drop("_k"), case).withColumn("score", similarity.value_score(F.col("value"), F.col("text"), F.col("field")))
+    found = exact.unionByName(best_band(scored.select(*case, "field", "text", "score"), [*case, "field"], "score", least))
+    return found.join(items.select(*case, "idx", "text"), [*case, "text"]).select(*case, "field", "idx", "score")
 
 
 def region_items(regions: DataFrame, items: DataFrame, case: list[str]) -> DataFrame:
